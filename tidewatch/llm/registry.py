@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from tidewatch.llm import rule_ledger, source_mixing
+from tidewatch.llm.quality_gbt import op4_quality_gbt
+from tidewatch.llm.rule_ledger import op5_rule_ledger
 from tidewatch.llm.simhash_dedup import op6_simhash_pivot_dedup
+from tidewatch.llm.source_mixing import op1_mix_sources
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_quality_gbt": op4_quality_gbt,
+    "op5_rule_ledger": op5_rule_ledger,
     "op6_simhash_pivot_dedup": op6_simhash_pivot_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": source_mixing.ORACLE,
+    "op5_rule_ledger": rule_ledger.ORACLE,
+}
