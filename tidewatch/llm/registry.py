@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.llm import rule_ledger, source_mixing
+from tidewatch.llm.html_main_text import op9_html_main_text
 from tidewatch.llm.quality_gbt import op4_quality_gbt
 from tidewatch.llm.rule_ledger import op5_rule_ledger
 from tidewatch.llm.simhash_dedup import op6_simhash_pivot_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_quality_gbt": op4_quality_gbt,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_simhash_pivot_dedup": op6_simhash_pivot_dedup,
+    "op9_html_main_text": op9_html_main_text,
 }
 
 ORACLES: dict[str, str] = {
