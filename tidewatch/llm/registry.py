@@ -6,14 +6,18 @@ from tidewatch.llm import rule_ledger, source_mixing
 from tidewatch.llm.html_main_text import op9_html_main_text
 from tidewatch.llm.quality_gbt import op4_quality_gbt
 from tidewatch.llm.rule_ledger import op5_rule_ledger
+from tidewatch.llm.secret_scan import op7_secret_markov_scan
 from tidewatch.llm.simhash_dedup import op6_simhash_pivot_dedup
 from tidewatch.llm.source_mixing import op1_mix_sources
+from tidewatch.llm.token_counts import op8_token_counts
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_quality_gbt": op4_quality_gbt,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_simhash_pivot_dedup": op6_simhash_pivot_dedup,
+    "op7_secret_markov_scan": op7_secret_markov_scan,
+    "op8_token_counts": op8_token_counts,
     "op9_html_main_text": op9_html_main_text,
 }
 
