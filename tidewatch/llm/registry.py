@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewatch.llm import rule_ledger, source_mixing
+from tidewatch.llm.decontaminate import op10_benchmark_windows
 from tidewatch.llm.html_main_text import op9_html_main_text
 from tidewatch.llm.quality_gbt import op4_quality_gbt
 from tidewatch.llm.rule_ledger import op5_rule_ledger
@@ -19,6 +20,7 @@ QUERIES = {
     "op7_secret_markov_scan": op7_secret_markov_scan,
     "op8_token_counts": op8_token_counts,
     "op9_html_main_text": op9_html_main_text,
+    "op10_benchmark_windows": op10_benchmark_windows,
 }
 
 ORACLES: dict[str, str] = {
