@@ -11,9 +11,11 @@ from tidewatch.llm.secret_scan import op7_secret_markov_scan
 from tidewatch.llm.simhash_dedup import op6_simhash_pivot_dedup
 from tidewatch.llm.source_mixing import op1_mix_sources
 from tidewatch.llm.token_counts import op8_token_counts
+from tidewatch.llm.warc_derivatives import op3_warc_derivatives
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_quality_gbt": op4_quality_gbt,
     "op5_rule_ledger": op5_rule_ledger,
     "op6_simhash_pivot_dedup": op6_simhash_pivot_dedup,
