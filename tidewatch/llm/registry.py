@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidewatch.llm import rule_ledger, source_mixing
 from tidewatch.llm.decontaminate import op10_benchmark_windows
 from tidewatch.llm.html_main_text import op9_html_main_text
+from tidewatch.llm.katz import op2_katz_scores
 from tidewatch.llm.quality_gbt import op4_quality_gbt
 from tidewatch.llm.rule_ledger import op5_rule_ledger
 from tidewatch.llm.secret_scan import op7_secret_markov_scan
@@ -15,6 +16,7 @@ from tidewatch.llm.warc_derivatives import op3_warc_derivatives
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_katz_scores": op2_katz_scores,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_quality_gbt": op4_quality_gbt,
     "op5_rule_ledger": op5_rule_ledger,
