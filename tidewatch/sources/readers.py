@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.functions import feed
 from tidewatch.operators.relational import labelled
 
-REPORT = T._parse_datatype_string(
-    "id long, text string, sender string, urls array<string>, domains array<string>, tokens array<string>, source string, case_key string, status string, created_at timestamp"
-)
+REPORT = "id long, text string, sender string, urls array<string>, domains array<string>, tokens array<string>, source string, case_key string, status string, created_at timestamp"
 FEED = "id string, source string, title string, published_at string, category string, summary string, keywords array<string>, url string"
 ENCODINGS = ("UTF-8", "x-windows-949", "EUC-KR")
 
