@@ -47,18 +47,20 @@ def targets(sources: DataFrame, budget: Column | None = None, max_repeats: int =
     taken by falling room per weight, so one pass of running sums finds the sources that stop.
     The table has one row per source; its numbers, not its documents, meet in one window.
     """
-    cap = F.col("source_size") * max_repeats
-    by_room = W.orderBy(cap / F.col("weight"), "rank").rowsBetween(W.unboundedPreceding, -1)
+    cap = F.when(F.col("weight") > 0, F.col("source_size") * max_repeats).otherwise(0)
+    room = F.try_divide(cap, F.col("weight")).asc_nulls_last()
+    by_room = W.orderBy(room, "rank").rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy(F.lit(0))
     total = F.sum("source_size").over(everything) if budget is None else budget
     rows = sources.withColumn("cap", cap).withColumn("total", total)
     rows = rows.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(by_room), F.lit(0)))
     rows = rows.withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_room), F.lit(0)))
     # Sources before this one stop; this one does not if its room reaches its share of what they leave.
-    open_here = F.col("cap").cast("double") >= F.col("left").cast("double") * F.col("weight") / F.col("rest")
-    rows = rows.withColumn("at", F.when(open_here, F.struct(F.row_number().over(W.orderBy(cap / F.col("weight"), "rank")).alias("n"), "left", "rest")))
+    open_here = F.col("cap").cast("double") >= F.try_divide(F.col("left").cast("double") * F.col("weight"), F.col("rest"))
+    rows = rows.withColumn("at", F.when(open_here & (F.col("weight") > 0), F.struct(F.row_number().over(W.orderBy(room, "rank")).alias("n"), "left", "rest")))
     rows = rows.withColumn("level", F.min("at").over(everything))
     share = F.col("level.left").cast("double") * F.col("weight") / F.col("level.rest")
+    # A source that weighs nothing has no room and no target.
     target = F.when(F.col("level").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), share))
     return rows.withColumn("target", F.when(F.col("source_size") > 0, target).otherwise(0.0)).drop("cap", "total", "left", "rest", "at", "level")
 
@@ -177,7 +179,8 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '')) AS BIGINT) AS size,
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '')) AS BIGINT) AS size,
     ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS number
   FROM documents
 ), s AS (
