@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,6 @@ from tidewatch.operators.relational import labelled
 
 REPORT = "id long, text string, sender string, urls array<string>, domains array<string>, tokens array<string>, source string, case_key string, status string, created_at timestamp"
 FEED = "id string, source string, title string, published_at string, category string, summary string, keywords array<string>, url string"
-ENCODINGS = ("UTF-8", "x-windows-949", "EUC-KR")
 
 
 def reports(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
@@ -20,18 +20,30 @@ def reports(spark: SparkSession, path: str, source: str | None = None) -> DataFr
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None, header: bool = True) -> DataFrame:
-    """A CSV in the first of UTF-8, CP949 and EUC-KR in which no line has a replacement character.
+    """A CSV in UTF-8, or in CP949 (which holds EUC-KR) if a line is no UTF-8. A byte-order mark is dropped.
 
     Spark reads bytes that aren't text as replacement characters instead of failing, so lines are
-    looked at until one such is found. A byte-order mark is dropped.
+    looked at until one such is found. CP949 is read byte by letter, as none of its bytes stands
+    for a comma, a quote or a line end within a letter, and its columns are decoded in Arrow batches.
     """
-    for encoding in ENCODINGS:
-        lines = spark.read.option("encoding", encoding).schema("value string").option("header", "false").option("sep", "\u0001").option("quote", "").csv(path)
-        if encoding == ENCODINGS[-1] or not lines.where(F.col("value").contains("�")).limit(1).count():
-            break
-    reader = spark.read.option("encoding", encoding).option("header", header).option("multiLine", encoding == "UTF-8").option("escape", '"')
-    rows = reader.schema(schema).csv(path) if schema else reader.csv(path)
-    return rows.toDF(*[c.removeprefix("﻿") for c in rows.columns])
+    lines = spark.read.text(path)
+    utf8 = not lines.where(F.col("value").contains("\ufffd") | ~F.is_valid_utf8("value")).limit(1).count()
+    reader = spark.read.option("header", header).option("escape", '"').option("multiLine", True)
+    if utf8:
+        rows = reader.schema(schema).csv(path) if schema else reader.csv(path)
+        return rows.toDF(*[c.removeprefix("\ufeff") for c in rows.columns])
+
+    @F.pandas_udf("string")
+    def decoded(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda b: None if b is None else b.decode("cp949", "replace"))
+
+    rows = reader.option("encoding", "ISO-8859-1").csv(path)
+    names = [c.encode("latin-1").decode("cp949", "replace") for c in rows.columns]
+    rows = rows.select(*[decoded(F.encode(F.col(f"`{c}`"), "ISO-8859-1")).alias(n) for c, n in zip(rows.columns, names, strict=True)])
+    if schema is None:
+        return rows
+    wanted = spark.createDataFrame([], schema).schema.fields
+    return rows.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, wanted, strict=True)])
 
 
 def ranked_domains(spark: SparkSession, path: str) -> DataFrame:
