@@ -36,7 +36,7 @@ ORDER = 2
 #: Counts up to which Good-Turing discounts; higher ones are taken as they are.
 K = 5
 #: Tokens after which a block ends, and distinct n-grams that a bucket is meant to hold.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 BUCKET_GRAMS = 2_000_000
 MAX_BUCKETS = 1 << 16
 #: Words numbered first in every block; they hold a blank, which no word does.
@@ -71,7 +71,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BLOCK = "block long, ids binary, lengths binary, train binary, vocabulary binary"
+BLOCK = [T.StructField("block", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in ("ids", "lengths", "train", "vocabulary")]]
 
 
 def encoded(docs: DataFrame, key: str, text: str, train: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -81,7 +81,7 @@ def encoded(docs: DataFrame, key: str, text: str, train: Column, block_tokens: i
     """
     kind = docs.schema[key].dataType
     slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"), train.alias("train"))
-    schema = T.StructType([T.StructField("keys", T.ArrayType(kind)), *T._parse_datatype_string(BLOCK).fields])
+    schema = T.StructType([T.StructField("keys", T.ArrayType(kind)), *BLOCK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -187,12 +187,12 @@ def ask_counts(blocks: DataFrame, order: int, bits: int) -> DataFrame:
     return blocks.select("block", "ids", "lengths", "train", "vocabulary").mapInArrow(run, ASK)
 
 
-ANSWER = "kind int, order int, bucket int, block long, s0 binary, s1 binary, s2 binary, first binary, stats array<long>"
+ANSWER = "kind int, order int, bucket int, block long, s0 binary, s1 binary, first binary, stats array<long>"
 COUNTS, WEIGHTS = 0, 1
 
 
 def answered(asked: DataFrame, kind: int, order: int) -> DataFrame:
-    """Add up what blocks ask under each hash and answer in their order.
+    """Add up what blocks ask under each hash and answer in their order: totals, or a history's denominator and weight.
 
     first marks, among the blocks with an n-gram of the training texts, the one that counts it. A
     row with block -1 has the bucket's number of n-grams, of tokens, and of n-grams seen once, twice and so on.
@@ -210,17 +210,22 @@ def answered(asked: DataFrame, kind: int, order: int) -> DataFrame:
             sums.append(np.bincount(at, given, len(first)))
         owns = np.zeros(len(at), bool)
         owns[first] = True
+        if kind == COUNTS:
+            values = [sums[0].astype(np.uint64)]
+        else:
+            total, kept, lower = sums
+            size = total + ((total > 0) & (total - kept <= 1e-9 * total))  # a history whose counts give nothing up
+            values = [size.astype(np.uint64), (1 - kept / np.maximum(size, 1)) / np.maximum(1 - lower, 1e-12)]
         out = []
         for r, end, k in zip(rows, ends, keys, strict=True):
             own = slice(end - len(k), end)
-            totals = [pack(s[at[own]].astype(number if kind else np.uint64)) for s in sums]
             mark = pack(np.packbits(owns[own])) if kind == COUNTS else None
-            out.append([kind, order, r["bucket"], r["block"], *totals, *[None] * (3 - len(totals)), mark, None])
+            out.append([kind, order, r["bucket"], r["block"], *(pack(v[at[own]]) for v in values), *[None] * (2 - len(values)), mark, None])
         if kind == COUNTS:
             seen = sums[0][sums[0] > 0].astype(np.int64)
             stats = [len(seen), int(seen.sum()), *np.bincount(seen[seen <= K + 1], minlength=K + 2)[1:].tolist()]
-            out.append([kind, order, rows[0]["bucket"], -1, None, None, None, None, stats])
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64())]
+            out.append([kind, order, rows[0]["bucket"], -1, None, None, None, stats])
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64())]
         names = [c.split()[0] for c in ANSWER.split(", ")]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
@@ -283,8 +288,10 @@ class _Answers:
         rows = [(unpack(r["s0"], np.uint64).astype(np.int64), unpack(r["first"], np.uint8)) for r in self.rows[COUNTS, order]]
         return np.concatenate([c for c, _ in rows]), np.concatenate([np.unpackbits(f)[: len(c)].astype(bool) for c, f in rows])
 
-    def weights(self, order: int) -> list[np.ndarray]:
-        return [np.concatenate([unpack(r[f"s{i}"], np.float64) for r in self.rows[WEIGHTS, order]]) for i in range(3)]
+    def weights(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The denominator of each history, 0 for one that training lacks, and its back-off weight."""
+        rows = [(unpack(r["s0"], np.uint64), unpack(r["s1"], np.float64)) for r in self.rows[WEIGHTS, order]]
+        return np.concatenate([s for s, _ in rows]).astype(np.float64), np.concatenate([w for _, w in rows])
 
 
 def _log_probabilities(tokens: Tokens, answers: _Answers, model: Model, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,11 +305,9 @@ def _log_probabilities(tokens: Tokens, answers: _Answers, model: Model, order: i
             known = np.log10(np.where(seen > 0, model.discounted(1, seen) / model.total, model.unknown))
             continue
         _, where = np.unique(tokens.grams(k - 1, skip=1), return_inverse=True)
-        total, kept, lower = (w[where] for w in answers.weights(k))
-        size = np.maximum(total + (total - kept <= 1e-9 * np.maximum(total, 1)), 1)
-        alpha = (1 - kept / size) / np.maximum(1 - lower, 1e-12)
-        backed = known + np.log10(np.where(total > 0, alpha, 1.0))
-        known = np.where(seen > 0, np.log10(np.maximum(model.discounted(k, seen), 1e-300) / size), backed)
+        size, weight = (w[where] for w in answers.weights(k))
+        backed = known + np.log10(np.where(size > 0, weight, 1.0))
+        known = np.where(seen > 0, np.log10(np.maximum(model.discounted(k, seen), 1e-300) / np.maximum(size, 1)), backed)
     return known, counts
 
 

@@ -148,7 +148,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     """
     found = near_duplicates(docs, key, text, radius)
     named = stored(found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("component_id").alias("low"), F.count("*").alias("rows")), "named")
-    out = docs.join(named.where(F.col("low") < F.col(key)).select(key), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    # The dropped keys grow with the corpus, so they are never broadcast, not even while they are few.
+    dropped = named.where(F.col("low") < F.col(key)).select(key).hint("merge")
+    out = docs.join(dropped, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
     again = named.where((F.col("rows") > 1) & (F.col("low") == F.col(key))).select(key)
     if again.isEmpty():
         return out
