@@ -33,3 +33,20 @@ def test_query(spark, sf, duck, name):
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == rows(columns, cursor.fetchall())
+
+
+def test_components_link_all_lines(spark, tmp_path):
+    """Labels against union-find over every line, of which few have a large quantity."""
+    lines = [(p, s, q) for p, s, q in ((1, 5, 1.0), (1, 9, 2.0), (2, 9, 50.0), (2, 7, 3.0), (3, 4, 48.0), (3, 8, 49.0), (4, 6, 10.0), (5, 5, 50.0), (6, 3, 49.0), (6, 2, 1.0))]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parent = {s: s for _, s, _ in lines}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for p, s, _ in lines:
+        for q, t, _ in lines:
+            if p == q and find(s) != find(t):
+                parent[max(find(s), find(t))] = min(find(s), find(t))
+    got = {r.vertex: r.component for r in registry.QUERIES["components"](spark, str(tmp_path)).collect()}
+    assert got == {s: find(s) for s in parent}

@@ -55,7 +55,7 @@ def campaign_activity_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers of a part are linked; a component's label is its smallest supplier."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     low = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("src"))
     return connected_components(lines.join(low, "l_partkey").select("src", F.col("l_suppkey").alias("dst")))
 
