@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -13,6 +14,7 @@ from tidewatch.operators import relational as R
 from tidewatch.operators import reports as P
 from tidewatch.operators.components import connected_components
 from tidewatch.operators.similarity import sharing_pairs, similar_pairs
+from tidewatch.plans import text_queries
 
 
 def test_components(spark):
@@ -199,6 +201,25 @@ def test_model(spark):
     assert out.first().probability == len(rows[0][0])
 
 
+def test_model_counts_on_a_log_scale(spark):
+    df = spark.createDataFrame([("ababab", 1), ("ab", 0), ("abab", 1)], "text string, label int")
+    model = M.fit(df, high=2)
+    rows = model.transform(M.with_ngrams(df, "text", high=2)).collect()
+    at = model.stages[0].vocabulary.index("ab")
+    assert {r.text: r.scaled[at] for r in rows} == pytest.approx({"ababab": 1 + math.log(3), "ab": 1.0, "abab": 1 + math.log(2)})
+    assert all(set(r.scaled.indices) == set(r.counts.indices) for r in rows)
+
+
+def test_scores_use_the_defaults_of_the_model(spark, sf, monkeypatch):
+    """n-grams of two to four letters and the operator's own number of terms and iterations."""
+    asked = []
+    fit = M.fit
+    monkeypatch.setattr(M, "fit", lambda df, **given: asked.append((given, fit(df, features=5000, iterations=1))) or asked[-1][1])
+    text_queries.lr_model_scores(spark, sf)
+    given, model = asked[0]
+    assert given == {} and {len(g) for g in model.stages[0].vocabulary} == {2, 3, 4}
+
+
 def test_feed(spark):
     items = [("1", "KISA", "스미싱 주의", "2024-01-02", "u1"), ("1", "KISA", "스미싱 주의", "2024-01-01", "u2"), ("2", "KISA", "피싱", "2024-01-03", "u1"), ("3", "KISA", "날씨", "2024-01-04", None), ("4", "경찰청", "해킹", "", None)]
     df = spark.createDataFrame(items, "id string, source string, title string, published_at string, url string")

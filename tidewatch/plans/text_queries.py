@@ -112,8 +112,8 @@ def lr_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of the n-gram model, trained on the labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    model = M.fit(rows, features=2000, iterations=10, high=2)
-    return M.predict(model, docs, high=2).select("doc_id", "probability")
+    model = M.fit(rows)
+    return M.predict(model, docs).select("doc_id", "probability")
 
 
 QUERIES = {
