@@ -76,3 +76,12 @@ def test_smaller_radius(spark):
     df = spark.createDataFrame([(0,), (1,), (3,), (1 << 40,)], "fp long")
     assert S.fingerprint_components(df, radius=0).agg(F.count_distinct("root")).first()[0] == 4
     assert S.fingerprint_components(df, radius=1).agg(F.count_distinct("root")).first()[0] == 1
+
+
+def test_one_row_of_each_group_stays_where_keys_repeat(spark, words):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, c), (None, d), (7, d), (None, None), (None, ""), (3, a)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((str(r.doc_id), r.text or "") for r in kept)
+    assert found == sorted([("3", a), ("5", b), ("None", c), ("7", d), ("None", "")])

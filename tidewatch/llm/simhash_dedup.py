@@ -141,22 +141,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents without all but one of each component: the one with the smallest key stays.
+    """The documents without all but one row of each component.
 
-    Rows that share a key are one document; of them one stays. Rows with a null key have no name to
-    be dropped by and stay.
+    The row with the smallest key stays, null keys last, and of rows that share it the one whose
+    text has the smallest hash. Of rows alike in both one stays.
     """
-    found = near_duplicates(docs, key, text, radius)
-    named = stored(found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("component_id").alias("low"), F.count("*").alias("rows")), "named")
-    # The dropped keys grow with the corpus, so they are never broadcast, not even while they are few.
-    dropped = named.where(F.col("low") < F.col(key)).select(key).hint("merge")
-    out = docs.join(dropped, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    again = named.where((F.col("rows") > 1) & (F.col("low") == F.col(key))).select(key)
+    hashed = F.xxhash64(F.col(f"`{text}`"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    marked = stored(fingerprints(rows.withColumn("hash", F.xxhash64("text")), "text", ["key", "hash"]), "fingerprints")
+    distinct = stored(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "hash")).alias("low")), "distinct")
+    lows = fingerprint_components(distinct, radius).join(distinct, "fp").groupBy("root").agg(F.min("low").alias("low"))
+    first = stored(lows.select(F.col("low.key").alias("_first key"), F.col("low.hash").alias("_first hash")), "first")
+    # The rows to keep grow with the corpus, so they are never broadcast, not even while they are few.
+    same = docs[f"`{key}`"].eqNullSafe(first["_first key"]) & (hashed == first["_first hash"])
+    out = docs.join(first.hint("merge"), same, "left_semi")
+    again = marked.groupBy("key", "hash").agg(F.count("*").alias("rows")).where("rows > 1")
+    again = stored(again.select(F.col("key").alias("_again key"), F.col("hash").alias("_again hash")), "again")
     if again.isEmpty():
         return out
-    once = out.join(again, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
-    repeated = out.join(again, key, "left_semi").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates([key])
-    return once.unionByName(repeated)
+    same = docs[f"`{key}`"].eqNullSafe(again["_again key"]) & (hashed == again["_again hash"])
+    once = out.join(again, same, "left_anti")
+    repeated = out.join(again, same, "left_semi").withColumn("_row hash", hashed)
+    return once.unionByName(repeated.dropDuplicates([key, "_row hash"]).drop("_row hash"))
 
 
 def op6_simhash_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
