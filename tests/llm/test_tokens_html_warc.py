@@ -108,3 +108,31 @@ def test_digests_and_other_kinds(spark):
     assert ("<urn:1>", "conversion") not in by and by["<urn:1>", "metadata"].source_digest_matches is True
     assert by["<urn:2>", "metadata"].source_digest_matches is False and "http-header: X-A: b" in by["<urn:2>", "metadata"].content
     assert by["<urn:3>", "conversion"].content == ""
+
+
+LONG = "many plain words of a paragraph here " * 6
+
+
+def test_a_head_without_an_end_tag():
+    for page in ("<head><title>T</title><body><p>{}</p>", "<html><head><meta charset=x><title>T</title><p>{}", "<head><script>a='<div>'</script><title>T</title><div>{}</div>", "<head><title>T</title>{}"):
+        assert H.main_text(page.format("Some words")) == "Some words"
+        assert V.plain_text(page.format("Some words")) == "Some words"
+    closed = "<head><title>T</title><noscript><p>no</p></noscript><style>p</style><script>'<body>'</script></head><body><header>Top</header><p>Yes"
+    assert H.main_text(closed) == "Yes" and V.plain_text(closed) == "Top\nYes"
+
+
+def test_a_wrapper_with_a_mark_is_not_barred():
+    for names in ("content has-sidebar", "sidebar-layout", "page search"):
+        page = f"<body><div class='{names}'><h1>Title</h1><p>{LONG}</p><p>Ok.</p><div class=comments><p>{LONG * 9}</p></div></div>"
+        assert H.main_text(page) == f"Title {LONG.strip()} Ok."
+    page = f"<div class='sidebar-layout'><div class=Related><article>Teaser</article></div><article><p>{LONG}</article></div><p>{LONG}"
+    assert H.main_text(page) == LONG.strip()
+    for names in ("SIDEBAR", "SideBar", "sideBar", "Comments", "pageFooter"):
+        assert H.main_text(f"<p>{LONG}</p><div class='{names}'><p>{LONG}</p></div>") == LONG.strip()
+
+
+def test_short_parts_of_an_article_stay():
+    for part in ("<ul><li>One<li>Two</ul>", "<blockquote>One Two</blockquote>", "<table><tr><td>One<td>Two</table>", "<section><p>One</p><p>Two</p></section>"):
+        for page in ("<div class=post><p>{0}</p>{1}<p>{0}</p></div>", "<body><p>{0}</p><p>{0}</p><p>{0}</p>{1}<p>{0}</p>"):
+            assert H.main_text(page.format(LONG, part)).count("One Two") == 1
+        assert H.main_text(f"<div class=post><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>{part}</div><div><a href=x>more</a></div>").endswith("One Two")

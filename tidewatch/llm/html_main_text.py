@@ -5,7 +5,8 @@ two block boundaries, with the number of tags met in it, its share of link text
 that holds it. Lines inside elements that announce something other than the article (navigation,
 forms, adverts, comments and so on) are marked. Of the other lines the text-to-tag ratios, in page
 order, are smoothed with a Gaussian and cut at a threshold; lines over it form clusters, and each
-cluster is extended to the element that holds it, so short lines of an article stay.
+cluster is extended to the container of its paragraphs, with the lists, tables, quotes and
+sections in it, and over what lies between two of its lines, so short lines of an article stay.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from tidewatch.llm.common import table, with_arrow_columns
 SILENT = frozenset("script style noscript template svg math iframe object select textarea button canvas audio video head".split())
 #: Elements that hold something other than the article.
 ASIDE = frozenset("nav aside footer form menu dialog".split())
+#: What a head may hold; any other element, or text, ends a head whose end tag is missing.
+HEAD_OWN = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Parts of an article, which belong to the container they are in.
+PARTS = frozenset("ul ol dl table thead tbody tfoot tr caption blockquote pre figure figcaption section details summary center address".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title".split()
@@ -42,32 +47,58 @@ MARKS = frozenset(
 )
 #: Marks of a page's header; inside an article a header belongs to it.
 HEADER_MARKS = frozenset("header topbar site-header".split())
-_PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Marks that no article is inside of; an element with another mark may be a wrapper around it.
+CLOSED = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay comment comments "
+    "disqus reply replies related recommended newsletter subscribe subscription signup login".split()
+)
+#: Words before a mark that say what an element has or lacks, not what it is.
+BEARING = frozenset("has have with no without".split())
+_WORDS = re.compile(r"[^A-Za-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SIGMA = 1.0
 #: Of the mean smoothed ratio; lines at or above it are content.
 THRESHOLD = 0.5
+#: Letters from which a line is taken for a paragraph.
+PARAGRAPH = 80
 
 
 class _Lines(HTMLParser):
-    """Collects (words of text, tags, link characters, holder, barred, in article) line by line."""
+    """Collects (words of text, tags, link characters, containers, barred, in article, marked elements, in a part) line by line."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, int]] = []
-        self.stack: list[tuple[str, int, bool, bool, int, bool]] = [("", 0, False, False, 0, False)]
+        self.lines: list[tuple[str, int, int, tuple[int, ...], bool, int, tuple[int, ...], bool]] = []
+        #: tag, containers, silent, barred, article, link, marked elements, in a part
+        self.stack: list[tuple[str, tuple[int, ...], bool, bool, int, bool, tuple[int, ...], bool]] = [("", (0,), False, False, 0, False, (), False)]
         self.text: list[str] = []
         self.tags = self.linked = self.made = 0
+        self.page = {0}
+        self.closed: set[int] = set()
+        self.wrappers: set[int] = set()
 
     def cut(self) -> None:
         if self.text:
             words = "".join(self.text).split()
             if words:
-                _, holder, _, barred, article, _ = self.stack[-1]
-                self.lines.append((" ".join(words), self.tags, self.linked, holder, barred, article))
+                _, holders, _, barred, article, _, marked, part = self.stack[-1]
+                self.lines.append((" ".join(words), self.tags, self.linked, holders, barred, article, marked, part))
             self.text = []
         self.tags = self.linked = 0
 
+    def end_head(self, surely: bool = False) -> None:
+        """End an open head, unless something silent is open in it."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i][0] == "head":
+                self.cut()
+                del self.stack[i:]
+                return
+            if self.stack[i][0] in SILENT and not surely:
+                return
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.stack[-1][2] and tag not in HEAD_OWN:
+            self.end_head(tag == "body")
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
@@ -77,32 +108,52 @@ class _Lines(HTMLParser):
         if loose:
             while self.stack[-1][0] in loose:
                 self.stack.pop()
-        _, holder, silent, barred, article, link = self.stack[-1]
+        _, holders, silent, barred, article, link, marked, part = self.stack[-1]
         silent = silent or tag in SILENT
+        named = False
         if not barred and not silent:
-            barred = tag in ASIDE or (tag == "header" and not article) or (bool(attrs) and self._marked(tag, attrs, article))
-        if tag in ("article", "main") and not barred and not article:
+            barred = tag in ASIDE or (tag == "header" and not article) or (bool(attrs) and self._hidden(attrs))
+            marks = self._marks(tag, attrs, article) if attrs and not barred else None
+            if marks:
+                self.made += 1
+                named, marked = True, (*marked, self.made)
+                if marks & CLOSED:
+                    self.closed.add(self.made)
+        if tag in ("article", "main") and not barred and not silent and not named and not article:
             self.made += 1
             article = self.made
-        if tag in BLOCKS and tag not in HEADINGS and tag not in LOOSE and tag not in ("br", "hr"):
+            self.wrappers.update(marked)
+        if tag in PARTS:
+            part = True
+        elif tag in BLOCKS and tag not in HEADINGS and tag not in LOOSE and tag not in ("br", "hr"):
             self.made += 1
-            holder = self.made
-        self.stack.append((tag, holder, silent, barred, article, link or tag == "a"))
+            holders, part = (*(x for x in holders if x not in self.page), self.made), False
+            if tag in ("html", "body"):
+                self.page.add(self.made)
+        self.stack.append((tag, holders, silent, barred, article, link or tag == "a", marked, part))
 
     @staticmethod
-    def _marked(tag: str, attrs: list[tuple[str, str | None]], article: int) -> bool:
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id", "role") and value and tag not in ("html", "body", "main", "article") or (name in ("class", "id") and tag == "article" and value):
-                parts = {x for x in _PARTS.split(value) if x}
-                parts = {x.lower() for x in parts}
-                if parts & MARKS or (not article and parts & HEADER_MARKS):
-                    return True
         return False
 
+    @staticmethod
+    def _marks(tag: str, attrs: list[tuple[str, str | None]], article: int) -> set[str]:
+        """The marks in the names of an element, in any case and also in camel case."""
+        found: set[str] = set()
+        for name, value in attrs:
+            if name in ("class", "id", "role") and value and tag not in ("html", "body", "main", "article") or (name in ("class", "id") and tag == "article" and value):
+                for token in value.split():
+                    plain = [x for x in _WORDS.split(token) if x]
+                    parts = [y.lower() for x in plain for y in _CAMEL.split(x)]
+                    if parts and parts[0] not in BEARING:
+                        found.update(parts, (x.lower() for x in plain), [token.lower()])
+        return found & MARKS if article else found & (MARKS | HEADER_MARKS)
+
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.cut()
@@ -122,7 +173,9 @@ class _Lines(HTMLParser):
         self.tags += 1
 
     def handle_data(self, data: str) -> None:
-        _, _, silent, _, _, link = self.stack[-1]
+        if self.stack[-1][0] == "head" and data.strip():
+            self.end_head()
+        _, _, silent, _, _, link, _, _ = self.stack[-1]
         if not silent:
             self.text.append(data)
             if link:
@@ -138,6 +191,20 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel, "full")[reach : reach + len(values)] / inside
 
 
+def _released(parser: _Lines) -> set[int]:
+    """Marked elements that are wrappers: they hold an article or main element, or nearly all text of a page without paragraphs elsewhere."""
+    lines = [x for x in parser.lines if not x[4] and not parser.closed.intersection(x[6])]
+    clear = [x for x in lines if not x[6]]
+    own = [x for x in clear if x[5]]
+    sizes = [len(x[0]) - x[2] for x in own or clear]
+    whole, held = sum(sizes), {}
+    for x in lines:
+        for e in x[6]:
+            held[e] = held.get(e, 0) + len(x[0]) - x[2]
+    total = sum(len(x[0]) - x[2] for x in lines)
+    return {e for e, n in held.items() if (not own and e in parser.wrappers) or (2 * n > total and n >= 4 * whole and max(sizes, default=0) < PARAGRAPH <= n)}
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in order, joined by one space; empty if there is none.
 
@@ -150,16 +217,27 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = [x for x in parser.lines if not x[4]]
+    open_to = _released(parser) if any(x[6] for x in parser.lines) else set()
+    lines = [x for x in parser.lines if not x[4] and open_to.issuperset(x[6])]
     if any(x[5] for x in lines):
         lines = [x for x in lines if x[5]]
     if not lines:
         return ""
-    ratio = np.array([(len(t) - linked) / max(tags, 1) if 2 * linked < len(t) else 0.0 for t, tags, linked, _, _, _ in lines])
+    linky = [2 * x[2] >= len(x[0]) for x in lines]
+    ratio = np.array([0.0 if far else (len(x[0]) - x[2]) / max(x[1], 1) for x, far in zip(lines, linky, strict=True)])
     smoothed = smooth(ratio)
-    over = smoothed >= THRESHOLD * smoothed.mean()
-    held = {line[5] or -line[3] for line, chosen in zip(lines, over, strict=True) if chosen}
-    return " ".join(line[0] for line in lines if (line[5] or -line[3]) in held)
+    over = np.flatnonzero(smoothed >= THRESHOLD * smoothed.mean())
+    held = {lines[i][5] or -lines[i][3][-1] for i in over}
+
+    def stays(i: int) -> bool:
+        _, _, _, holders, _, article, _, part = lines[i]
+        if article:
+            return article in held
+        if -holders[-1] in held and not part:
+            return True
+        return not linky[i] and (over[0] < i < over[-1] or any(-x in held for x in holders))
+
+    return " ".join(line[0] for i, line in enumerate(lines) if stays(i))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -26,7 +26,12 @@ END = "\r\n\r\n"
 #: The date of records made from pages, which have none.
 CRAWLED = "2024-01-01T00:00:00Z"
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: A head goes up to its end tag or, without one, up to the first thing that a head can't hold.
+_HEAD = (
+    r"<head(?=[\s/>])[^>]*>(?>\s+|<!--.*?(?:-->|\Z)|<!(?!--)[^>]*>|<(script|style)\b.*?(?:</\1\s*>|(?=</head\b)|\Z)"
+    r"|<(noscript|noframes|template|title)\b.*?(?:</\2\s*>|(?=</head\b|<body\b)|\Z)|</?(?:base|basefont|bgsound|link|meta)\b[^>]*>)*+(?:</head\s*>)?"
+)
+_DROPPED = re.compile(rf"{_HEAD}|<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\3\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|"
     r"section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>",
