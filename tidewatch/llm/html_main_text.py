@@ -1,17 +1,22 @@
-"""Main text of web pages: parser events to lines, text-to-tag ratios, smoothing and clustering.
+"""Main text of web pages: parser events to lines, text-to-tag ratios, smoothing and threshold clustering.
 
 The standard library's parser is fed a page and its events fill lines: a line is the text between
-two block boundaries, with the number of tags met in it, its share of link text and the element
-that holds it. Lines inside elements that announce something other than the article (navigation,
-forms, adverts, comments and so on) are marked. Of the other lines the text-to-tag ratios, in page
-order, are smoothed with a Gaussian and cut at a threshold; lines over it form clusters, and each
-cluster is extended to the container of its paragraphs, with the lists, tables, quotes and
-sections in it, and over what lies between two of its lines, so short lines of an article stay.
+two block boundaries, with the number of tags met in it and the container it lies in. A line's ratio
+is its counted text over its tags. Link text isn't counted, nor is text in an element that by its
+name holds something other than the article (navigation, footer, form, advert, comments and so on).
+The ratios of all lines, in page order, are smoothed with a Gaussian and cut at a threshold.
+
+Lines over the threshold form the content clusters. They pick the region: from the page downwards,
+the container that holds nearly all of their text. Of the region, what has no ratio of its own goes:
+containers whose text isn't counted, lists of links in boxes, and boxes after the last line of
+content whose own ratio stays under the threshold, such as reader comments and teasers. Short lines
+of the region itself stay.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -24,77 +29,92 @@ from tidewatch.llm.common import table, with_arrow_columns
 
 #: Elements whose content is never text of a page.
 SILENT = frozenset("script style noscript template svg math iframe object select textarea button canvas audio video head".split())
-#: Elements that hold something other than the article.
+#: Elements that hold something other than the article, and the roles that say the same.
 ASIDE = frozenset("nav aside footer form menu dialog".split())
+ROLES = frozenset("navigation banner complementary contentinfo search form dialog menu menubar toolbar".split())
 #: What a head may hold; any other element, or text, ends a head whose end tag is missing.
 HEAD_OWN = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 #: Parts of an article, which belong to the container they are in.
-PARTS = frozenset("ul ol dl table thead tbody tfoot tr caption blockquote pre figure figcaption section details summary center address".split())
+PARTS = frozenset("ul ol dl table thead tbody tfoot tr caption blockquote pre figure figcaption details summary center address".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul title".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of a line or two, which are no containers.
+FLOW = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt td th option optgroup legend title br hr".split())
 #: Elements without an end tag of their own when another of the kind, or their parent's end, comes.
 LOOSE = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
-#: Words in class, id or role that mark an element as not of the article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar sidebar sidenav aside "
-    "footer masthead breadcrumb breadcrumbs cookie cookies consent notice notices alert gdpr popup modal overlay comment comments disqus reply replies "
-    "share sharing social related recommended newsletter subscribe subscription signup login search searchbox pagination pager toolbar contentinfo "
-    "complementary copyright disclaimer skip widget".split()
+#: Whole names (a class or an id, in lower case without hyphens) of elements that hold something other than the article.
+NAMES = frozenset(
+    "nav navbar navigation menu sidebar sidenav footer pagefooter sitefooter masthead topbar breadcrumb breadcrumbs cookie cookies cookiebanner cookienotice "
+    "cookieconsent consent notice notices banner popup modal newsletter signup login search share sharing social related recommended pagination toolbar".split()
 )
-#: Marks of a page's header; inside an article a header belongs to it.
-HEADER_MARKS = frozenset("header topbar site-header".split())
-#: Marks that no article is inside of; an element with another mark may be a wrapper around it.
-CLOSED = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay comment comments "
-    "disqus reply replies related recommended newsletter subscribe subscription signup login".split()
-)
-#: Words before a mark that say what an element has or lacks, not what it is.
-BEARING = frozenset("has have with no without".split())
-_WORDS = re.compile(r"[^A-Za-z0-9]+")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+HEADER_NAMES = frozenset("header pageheader siteheader".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement sponsored promo".split())
+COMMENTS = frozenset("comment comments commentlist commentsection commentsarea usercomments readercomments disqus replies".split())
+_CUT = re.compile(r"<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
+_OPEN = re.compile(r"<[A-Za-z/!?]")
 SIGMA = 1.0
 #: Of the mean smoothed ratio; lines at or above it are content.
 THRESHOLD = 0.5
+#: Share of the content's text from which a container is the region rather than what it lies in.
+DOMINANT = 0.75
+#: How many times the text of an article or main element counts when the region is chosen.
+TOLD = 4
 #: Letters from which a line is taken for a paragraph.
 PARAGRAPH = 80
 
 
+@dataclass
+class Box:
+    """A container: what it lies in, its tag, whether the parser or its names bar it, and what it is told to be."""
+
+    parent: int
+    tag: str = ""
+    barred: bool = False
+    named: bool = False
+    comments: bool = False
+    plain: bool = False
+    article: bool = False
+
+
 class _Lines(HTMLParser):
-    """Collects (words of text, tags, link characters, containers, barred, in article, marked elements, in a part) line by line."""
+    """Collects the page's lines (text, tags, link characters, container) and containers."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool, int, tuple[int, ...], bool]] = []
-        #: tag, containers, silent, barred, article, link, marked elements, in a part
-        self.stack: list[tuple[str, tuple[int, ...], bool, bool, int, bool, tuple[int, ...], bool]] = [("", (0,), False, False, 0, False, (), False)]
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.boxes = [Box(-1, plain=True)]
+        #: tag, container, silent, in a main (1) or article (2) element, in a link
+        self.stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
+        #: Where in the stack the elements of a tag, and blocks, are.
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
         self.text: list[str] = []
-        self.tags = self.linked = self.made = 0
-        self.page = {0}
-        self.closed: set[int] = set()
-        self.wrappers: set[int] = set()
+        self.tags = self.linked = 0
 
     def cut(self) -> None:
         if self.text:
             words = "".join(self.text).split()
             if words:
-                _, holders, _, barred, article, _, marked, part = self.stack[-1]
-                self.lines.append((" ".join(words), self.tags, self.linked, holders, barred, article, marked, part))
+                self.lines.append((" ".join(words), self.tags, self.linked, self.stack[-1][1]))
             self.text = []
         self.tags = self.linked = 0
 
+    def drop(self, to: int) -> None:
+        """Close the elements from a place of the stack on."""
+        while len(self.stack) > to:
+            self.places[self.stack.pop()[0]].pop()
+        while self.blocks[-1] >= to:
+            self.blocks.pop()
+
     def end_head(self, surely: bool = False) -> None:
         """End an open head, unless something silent is open in it."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == "head":
-                self.cut()
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in SILENT and not surely:
-                return
+        at = self.places.get("head")
+        if at and (surely or max(self.places[t][-1] for t in SILENT if self.places.get(t)) == at[-1]):
+            self.cut()
+            self.drop(at[-1])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.stack[-1][2] and tag not in HEAD_OWN:
@@ -107,65 +127,44 @@ class _Lines(HTMLParser):
         loose = LOOSE.get(tag)
         if loose:
             while self.stack[-1][0] in loose:
-                self.stack.pop()
-        _, holders, silent, barred, article, link, marked, part = self.stack[-1]
+                self.drop(len(self.stack) - 1)
+        _, box, silent, article, link = self.stack[-1]
         silent = silent or tag in SILENT
-        named = False
-        if not barred and not silent:
-            barred = tag in ASIDE or (tag == "header" and not article) or (bool(attrs) and self._hidden(attrs))
-            marks = self._marks(tag, attrs, article) if attrs and not barred else None
-            if marks:
-                self.made += 1
-                named, marked = True, (*marked, self.made)
-                if marks & CLOSED:
-                    self.closed.add(self.made)
-        if tag in ("article", "main") and not barred and not silent and not named and not article:
-            self.made += 1
-            article = self.made
-            self.wrappers.update(marked)
-        if tag in PARTS:
-            part = True
-        elif tag in BLOCKS and tag not in HEADINGS and tag not in LOOSE and tag not in ("br", "hr"):
-            self.made += 1
-            holders, part = (*(x for x in holders if x not in self.page), self.made), False
-            if tag in ("html", "body"):
-                self.page.add(self.made)
-        self.stack.append((tag, holders, silent, barred, article, link or tag == "a", marked, part))
-
-    @staticmethod
-    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
-        for name, value in attrs:
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+        if not silent:
+            made = self.box(tag, dict(attrs), box, article)
+            if made is not None:
+                self.boxes.append(made)
+                box = len(self.boxes) - 1
+            article = max(article, ("main", "article").index(tag) + 1 if tag in ("main", "article") else 0)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, box, silent, article, link or tag == "a"))
 
     @staticmethod
-    def _marks(tag: str, attrs: list[tuple[str, str | None]], article: int) -> set[str]:
-        """The marks in the names of an element, in any case and also in camel case."""
-        found: set[str] = set()
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value and tag not in ("html", "body", "main", "article") or (name in ("class", "id") and tag == "article" and value):
-                for token in value.split():
-                    plain = [x for x in _WORDS.split(token) if x]
-                    parts = [y.lower() for x in plain for y in _CAMEL.split(x)]
-                    if parts and parts[0] not in BEARING:
-                        found.update(parts, (x.lower() for x in plain), [token.lower()])
-        return found & MARKS if article else found & (MARKS | HEADER_MARKS)
+    def box(tag: str, attrs: dict[str, str | None], parent: int, article: int) -> Box | None:
+        """The container that an element makes, if it makes one."""
+        value = lambda name: (attrs.get(name) or "").lower()
+        hidden = "hidden" in attrs or value("aria-hidden") == "true" or "display:none" in value("style").replace(" ", "")
+        barred = tag in ASIDE or (tag == "header" and not article) or (tag == "article" and article == 2) or value("role") in ROLES
+        names = {x.replace("-", "").replace("_", "") for x in f"{value('class')} {value('id')}".split()}
+        comments = bool(names & COMMENTS)
+        named = comments or bool(names & ADVERTS)
+        if tag not in FLOW and tag not in ("html", "body", "main", "article"):
+            named = named or bool(names & NAMES) or (not article and bool(names & HEADER_NAMES))
+        if tag in ("html", "body") or (tag not in BLOCKS and not hidden):
+            return None
+        if (tag in FLOW or tag in PARTS) and not (hidden or barred or named):
+            return None
+        return Box(parent, tag, hidden or barred, named, comments, not names, tag in ("article", "main") and not barred and not hidden)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.cut()
         self.tags += 1
-        if tag in VOID:
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
-            if tag not in BLOCKS and self.stack[i][0] in BLOCKS:
-                return
+        at = self.places.get(tag)
+        if tag not in VOID and at and (tag in BLOCKS or at[-1] > self.blocks[-1]):
+            self.drop(at[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -175,10 +174,9 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.stack[-1][0] == "head" and data.strip():
             self.end_head()
-        _, _, silent, _, _, link, _, _ = self.stack[-1]
-        if not silent:
+        if not self.stack[-1][2]:
             self.text.append(data)
-            if link:
+            if self.stack[-1][4]:
                 self.linked += len(data.strip())
 
 
@@ -191,67 +189,141 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel, "full")[reach : reach + len(values)] / inside
 
 
-def _released(parser: _Lines) -> set[int]:
-    """Marked elements that are wrappers: they hold an article or main element, or nearly all text of a page without paragraphs elsewhere."""
-    lines = [x for x in parser.lines if not x[4] and not parser.closed.intersection(x[6])]
-    clear = [x for x in lines if not x[6]]
-    own = [x for x in clear if x[5]]
-    sizes = [len(x[0]) - x[2] for x in own or clear]
-    whole, held = sum(sizes), {}
-    for x in lines:
-        for e in x[6]:
-            held[e] = held.get(e, 0) + len(x[0]) - x[2]
-    total = sum(len(x[0]) - x[2] for x in lines)
-    return {e for e, n in held.items() if (not own and e in parser.wrappers) or (2 * n > total and n >= 4 * whole and max(sizes, default=0) < PARAGRAPH <= n)}
-
+def parsed(html: str) -> _Lines:
+    """The lines and containers of a page.
 
-def main_text(html: str | None) -> str:
-    """The article of a page: its blocks in order, joined by one space; empty if there is none.
-
-    Character references are decoded and white space inside a block becomes one space. An article
-    or main element, where a page has one, bounds what may be chosen. A null page is empty.
+    Scripts, styles and comments are cut out beforehand, each up to its end or the page's, and a tag
+    that never ends is left out, as browsers do; the parser would look for those ends again and again.
     """
-    if not html:
-        return ""
+    html = _CUT.sub("", html)
+    unfinished = _OPEN.search(html, html.rfind(">") + 1)
+    html = (html[: unfinished.start()] if unfinished else html).replace("<![", "<!x[")  # a declaration ends at its first ">"
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.cut()
-    open_to = _released(parser) if any(x[6] for x in parser.lines) else set()
-    lines = [x for x in parser.lines if not x[4] and open_to.issuperset(x[6])]
-    if any(x[5] for x in lines):
-        lines = [x for x in lines if x[5]]
+    return parser
+
+
+def _up(boxes: list[Box], own: np.ndarray) -> np.ndarray:
+    """Sums over each container and all in it, from the sums of the containers' own lines."""
+    whole = own.copy()
+    for i in range(len(boxes) - 1, 0, -1):
+        whole[boxes[i].parent] += whole[i]
+    return whole
+
+
+def _barred(boxes: list[Box], held: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which containers' text isn't counted: barred and named ones, and all that they hold.
+
+    A name alone does not bar a wrapper: one that holds the page's only article, or, where no
+    article is told, four fifths of the text with a paragraph in it. Names of comments always bar.
+    """
+    n = len(boxes)
+    sure, at, article = np.zeros(n, bool), np.zeros(n, bool), np.array([b.article for b in boxes])
+    for i, b in enumerate(boxes):
+        up = b.parent >= 0
+        sure[i] = (up and sure[b.parent]) or b.barred or b.comments
+        at[i] = sure[i] or (up and at[b.parent]) or b.named
+    clear = bool((article & ~at).any())
+    article &= ~sure
+    holds = _up(boxes, article.astype(np.int64)) > 0
+    text = _up(boxes, np.where(sure, 0, own))
+    out = np.zeros(n, bool)
+    for i, b in enumerate(boxes):
+        wraps = b.named and not clear and (holds[i] or (not article.any() and 5 * text[i] >= 4 * text[0] and held[i] >= PARAGRAPH))
+        out[i] = (b.parent >= 0 and out[b.parent]) or b.barred or b.comments or (b.named and not wraps)
+    return out
+
+
+def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
+    """The article of a page: its blocks in order, joined by one space; empty if there is none.
+
+    Character references are decoded and white space inside a block becomes one space. A page that
+    is null, or whose lines are all links or barred, is empty. With a threshold of 0 all lines
+    are content, so all text of a page with any content comes back.
+    """
+    page = parsed(html or "")
+    lines, boxes = page.lines, page.boxes
     if not lines:
         return ""
-    linky = [2 * x[2] >= len(x[0]) for x in lines]
-    ratio = np.array([0.0 if far else (len(x[0]) - x[2]) / max(x[1], 1) for x, far in zip(lines, linky, strict=True)])
+    box = np.array([x[3] for x in lines])
+    size, tags, linked = (np.array([f(x) for x in lines]) for f in (lambda x: len(x[0]), lambda x: max(x[1], 1), lambda x: x[2]))
+    unlinked = np.where(2 * linked >= size, 0, size - linked)
+    own = np.bincount(box, unlinked, len(boxes))
+    longest = np.zeros(len(boxes), np.int64)
+    np.maximum.at(longest, box, unlinked)
+    for i in range(len(boxes) - 1, 0, -1):
+        longest[boxes[i].parent] = max(longest[boxes[i].parent], longest[i])
+    counted = np.where(_barred(boxes, longest, own)[box], 0, unlinked)
+    ratio = counted / tags
     smoothed = smooth(ratio)
-    over = np.flatnonzero(smoothed >= THRESHOLD * smoothed.mean())
-    held = {lines[i][5] or -lines[i][3][-1] for i in over}
-
-    def stays(i: int) -> bool:
-        _, _, _, holders, _, article, _, part = lines[i]
-        if article:
-            return article in held
-        if -holders[-1] in held and not part:
-            return True
-        return not linky[i] and (over[0] < i < over[-1] or any(-x in held for x in holders))
-
-    return " ".join(line[0] for i, line in enumerate(lines) if stays(i))
+    cut = threshold * smoothed.mean()
+    if not smoothed.any():
+        return ""
+    over = smoothed >= cut
+
+    told = np.zeros(len(boxes), bool)
+    for i, b in enumerate(boxes):
+        told[i] = b.article or (b.parent >= 0 and told[b.parent])
+    weight = _up(boxes, np.bincount(box, np.where(over, counted, 0) * np.where(told[box], TOLD, 1), len(boxes)))
+    region, best = 0, {}
+    for i in range(1, len(boxes)):
+        if weight[i] > weight[best.get(boxes[i].parent, i)] or boxes[i].parent not in best:
+            best[boxes[i].parent] = i
+    while threshold > 0 and not boxes[region].article and region in best:
+        child = best[region]
+        share = 0.5 if boxes[child].article else DOMINANT
+        if weight[child] <= share * weight[region]:
+            break
+        region = child
+    if boxes[region].tag == "main" and region in best and boxes[best[region]].article and 2 * weight[best[region]] > weight[region]:
+        region = best[region]
+
+    whole_text, whole_tags = (_up(boxes, np.bincount(box, v, len(boxes))) for v in (counted, tags))
+    whole_size, whole_linked = (_up(boxes, np.bincount(box, v, len(boxes))) for v in (size, linked))
+    high = whole_text >= cut * whole_tags
+    first, last = np.full(len(boxes), len(lines)), np.full(len(boxes), -1)
+    np.minimum.at(first, box, np.arange(len(lines))), np.maximum.at(last, box, np.arange(len(lines)))
+    for i in range(len(boxes) - 1, 0, -1):
+        first[boxes[i].parent], last[boxes[i].parent] = min(first[boxes[i].parent], first[i]), max(last[boxes[i].parent], last[i])
+    inside, strong = np.zeros(len(boxes), bool), np.zeros(len(boxes), bool)
+    inside[region] = strong[region] = True
+    for i in range(region + 1, len(boxes)):
+        inside[i] = inside[boxes[i].parent]
+        strong[i] = strong[boxes[i].parent] and high[i]
+    core = np.flatnonzero(over & (ratio >= cut) & strong[box])
+    begin, end = (core[0], core[-1]) if len(core) else (len(lines), -1)
+
+    stays = np.zeros(len(boxes), bool)
+    stays[region] = True
+    for i in range(region + 1, len(boxes)):
+        b = boxes[i]
+        if not inside[i] or not stays[b.parent] or first[i] > last[i]:
+            continue
+        loose = b.plain and region != 0
+        good = high[i] or loose or first[i] <= end and (last[i] >= begin or region != 0)
+        stays[i] = good and (whole_text[i] > 0 or cut <= 0) and (2 * whole_linked[i] < whole_size[i] or cut <= 0)
+    links = (2 * linked >= size) & (cut > 0) & (not told[region])
+    kept = stays[box] & ~(links & ((np.arange(len(lines)) < begin) | (np.arange(len(lines)) > end)))
+    return " ".join(lines[i][0] for i in np.flatnonzero(kept))
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Append text and n_chars (code points) of every whole page; null and empty pages give "" and 0.
 
-    Kept columns pass through, whatever their names; a broken page yields what its events yield.
+    Kept columns (all where not given) pass through, whatever their names, but for text and n_chars
+    themselves, which are replaced. A broken page yields what its events yield.
     """
 
     def compute(batch: pa.RecordBatch) -> list:
         found = [main_text(x) for x in batch.column(0).to_pylist()]
         return [found, [len(x) for x in found]]
 
-    return with_arrow_columns(pages, {"html": F.col(f"`{html}`")}, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], compute, keep)
+    kept = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars")]
+    return with_arrow_columns(pages, {"html": F.col(f"`{html}`")}, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], compute, kept)
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
     return extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])

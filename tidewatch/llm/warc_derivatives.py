@@ -26,21 +26,25 @@ END = "\r\n\r\n"
 #: The date of records made from pages, which have none.
 CRAWLED = "2024-01-01T00:00:00Z"
 
+#: What a tag holds: no "<" or ">" but "<" in quotes. Scans stop at the next tag, so broken pages take linear time.
+_IN = r"""(?>[^<>"']+|"[^">]*"|'[^'>]*'|["'])*+"""
 #: A head goes up to its end tag or, without one, up to the first thing that a head can't hold.
 _HEAD = (
-    r"<head(?=[\s/>])[^>]*>(?>\s+|<!--.*?(?:-->|\Z)|<!(?!--)[^>]*>|<(script|style)\b.*?(?:</\1\s*>|(?=</head\b)|\Z)"
-    r"|<(noscript|noframes|template|title)\b.*?(?:</\2\s*>|(?=</head\b|<body\b)|\Z)|</?(?:base|basefont|bgsound|link|meta)\b[^>]*>)*+(?:</head\s*>)?"
+    rf"<head(?=[\s/>]){_IN}>(?>\s+|<!--.*?(?:-->|\Z)|<!(?!--){_IN}>|<(script|style)\b{_IN}>.*?(?:</\1\s*>|(?=</head\b)|\Z)"
+    rf"|<(noscript|noframes|template|title)\b{_IN}>.*?(?:</\2\s*>|(?=</head\b|<body\b)|\Z)|</?(?:base|basefont|bgsound|link|meta)\b{_IN}>)*+(?:</head\s*>)?"
 )
-_DROPPED = re.compile(rf"{_HEAD}|<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\3\s*>|\Z)", re.S | re.I)
+_DROPPED = re.compile(rf"{_HEAD}|<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b{_IN}>.*?(?:</\3\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|"
-    r"section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>",
+    rf"section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b{_IN}>",
     re.I,
 )
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TAG = re.compile(rf"<[!/?a-zA-Z]{_IN}>")
+_TITLE = re.compile(rf"<title\b{_IN}>([^<]*)", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_HTML = re.compile(rf"<html\b({_IN})>", re.I)
+_LINK = re.compile(rf"<a\b({_IN})>", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 RECORD = T.StructType(
@@ -72,9 +76,17 @@ def _one_line(text: str) -> str:
 
 
 def plain_text(page: str) -> str:
-    """The text of a page, a line for each block; scripts, styles, comments and the head are left out."""
-    lines = html.unescape(_TAG.sub("", _BLOCK.sub("\n", _DROPPED.sub("\n", page)))).split("\n")
-    return "\n".join(x for x in map(_one_line, lines) if x)
+    """The text of a page, a line for each block; scripts, styles, comments and the head are left out.
+
+    Line ends of the page's source are white space, as in browsers.
+    """
+    lines = _TAG.sub("", _BLOCK.sub("\n", _DROPPED.sub("", page.replace("\n", " ")))).split("\n")
+    return "\n".join(x for x in (_one_line(html.unescape(line)) for line in lines) if x)
+
+
+def outlinks(page: str) -> int:
+    """The number of a elements with a target."""
+    return sum(1 for attributes in _LINK.findall(page) if _HREF.search(attributes))
 
 
 def derive(response_id: str | None, uri: str | None, block: bytes | None, given: str | None) -> list[tuple]:
@@ -95,8 +107,8 @@ def derive(response_id: str | None, uri: str | None, block: bytes | None, given:
             page = body.decode("utf-8", "replace")
         if "html" in kind or not kind:
             links["title"] = _one_line(html.unescape(m[1])) if (m := _TITLE.search(page)) else ""
-            links["language"] = m[1] if (m := _LANG.search(page)) else ""
-            links["outlinks"] = str(len(_LINK.findall(page)))
+            links["language"] = m[1] if (t := _HTML.search(page)) and (m := _LANG.search(t[1])) else ""
+            links["outlinks"] = str(outlinks(page))
             page = plain_text(page)
         content = page.encode("utf-8", "replace")
         out.append((record_id(response_id, uri, "conversion"), "conversion", response_id, "text/plain; charset=utf-8", len(content), digest(content), given or actual, matches, content.decode()))
@@ -113,14 +125,15 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None) -> DataFram
     responses has record_id, target_uri, date, block (bytes: HTTP head and body) and payload_digest.
     A null block is an empty one: its metadata record says so and its conversion is empty; a null
     digest is computed and source_digest_matches is null. Content that isn't text gets metadata
-    only. Repeated responses get repeated records with the same identifiers.
+    only. Repeated responses get repeated records with the same identifiers. Kept columns that are
+    named like a column of a record are left out, for the record's own.
     """
 
     def compute(batch: pa.RecordBatch) -> list:
         names = [f.name for f in RECORD.fields]
         return [[[dict(zip(names, r, strict=True)) for r in derive(*row)] for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]]
 
-    kept = [c for c in ("target_uri", "date") if c not in (keep or [])] + (keep or [])
+    kept = [c for c in ("target_uri", "date") if c not in (keep or [])] + [c for c in keep or [] if c not in RECORD.fieldNames()]
     inputs = {"id": F.col("record_id"), "uri": F.col("target_uri"), "block": F.col("block"), "digest": F.col("payload_digest")}
     rows = with_arrow_columns(responses, inputs, [T.StructField("records of a response", T.ArrayType(RECORD))], compute, kept)
     return rows.select(*[F.col(f"`{c}`") for c in kept], F.explode("records of a response").alias("r")).select(*[F.col(f"`{c}`") for c in kept], "r.*")
@@ -178,4 +191,5 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and conversion records of every page, stored as the answer to a request for it."""
     return derivatives(responses_from_pages(table(spark, sf_dir, "pages")), keep=["page_id"])
