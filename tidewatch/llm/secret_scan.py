@@ -2,7 +2,7 @@
 
 Everything is DataFrame expressions. A pattern's matches and the text between them alternate, so
 splitting a text at the pattern and extracting the pattern gives every position as a running sum of
-lengths. Strings of key-like letters outside the base matches are scored by two first-order Markov
+lengths, taken in chunks so that a text with very many matches costs no more for each. Strings of key-like letters outside the base matches are scored by two first-order Markov
 models, one of random strings and one of ordinary identifiers: the sum over letter pairs of the log
 ratio of their probabilities. The models are counts over labelled samples, smoothed, and fit in one
 array with a cell for each pair of letters.
@@ -11,6 +11,7 @@ array with a cell for each pair of letters.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,36 +32,70 @@ SMOOTH = 0.5
 #: Nats by which the random model must win over a whole string, and a letter.
 MARGIN = 12.0
 RATE = 1.2
+#: Elements, or letters of a text, that are handled together.
+CHUNK = 256
+#: Beyond any position.
+FAR = 2**31 - 1
 #: Documents whose words make the sample of ordinary identifiers.
 SAMPLE_DOCS = 300
 #: Random strings of each alphabet in the sample.
 SAMPLE_RANDOM = 1500
 
 
-def _ordered(kind: int, start: Column, end: Column) -> Column:
-    return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times but computes, and holds, it once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1) -> Column:
-    """Array of (start, kind, end) of a pattern's leftmost non-overlapping matches, in code points.
+def running(x: Column, zero: int, join: Callable[[Column, Column], Column]) -> Column:
+    """What join makes of the elements of an array up to and with each, in time in proportion to the array.
 
-    Matches whose group is shorter than least are dropped. The fold takes its pieces as its own
-    input, so each pattern runs over a text once for the gaps and once for the matches.
+    A fold that appends copies what it has at each step, so it runs over chunks, and once over what
+    the chunks make of themselves. join must be associative with zero as its neutral element.
     """
+    none = F.array().cast("array<int>")
+
+    def fold(values: Column) -> Column:
+        def add(acc: Column, v: Column) -> Column:
+            return F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(join(acc["at"], v))).alias("out"))
+
+        return F.aggregate(values, F.struct(F.lit(zero).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+    def joined(parts: Column) -> Column:
+        totals = fold(F.transform(parts, lambda p: F.element_at(p, -1)))
+        moved = lambda before: F.transform(parts, lambda p, i: F.transform(p, lambda v: join(F.coalesce(F.get(before, i - 1), F.lit(zero)), v)))
+        return let(totals, lambda before: F.flatten(moved(before)))
+
+    def chunks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: fold(F.slice(v, c * CHUNK + 1, CHUNK)))
+
+    return let(x, lambda v: F.when(F.size(v) > 0, let(chunks(v), joined)).otherwise(none))
+
+
+def _pieces(text: Column, pattern: str, group: int) -> Column:
+    """The matches of a pattern in order: the length of the text before each, the match, and the length of its group."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), measured.alias("part"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    found = F.zip_with(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), measured, lambda x, m: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.length(m).alias("part")))
+    found = F.filter(found, lambda x: x["hit"].isNotNull())
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<gap:int,hit:string,part:int>>"))
+
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        good = F.coalesce(F.length(x["part"]) >= least, F.lit(False))
-        found = F.when(good, F.concat(acc["out"], F.array(_ordered(kind, start, end)))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), found.alias("out"))
+def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1) -> Column:
+    """(start, kind, end, hit) of a pattern's leftmost non-overlapping matches, in code points.
+
+    Matches whose group is shorter than least are dropped.
+    """
+
+    def span(x: Column, e: Column) -> Column:
+        return F.struct((e - F.length(x["hit"])).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), x["hit"].alias("hit"), x["part"].alias("part"))
+
+    def spans(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda x: x["gap"] + F.length(x["hit"])), 0, lambda a, b: a + b)
+        return F.filter(F.zip_with(pieces, ends, span), lambda x: x["part"] >= least)
 
-    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    return let(_pieces(text, pattern, group), spans)
 
 
 def ordinary_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -131,25 +166,30 @@ def scan(docs: DataFrame, ratios: list[float], text: str = "text", margin: float
     """Append an array of (start, kind, end): kind numbers BASE's kinds, and after them MARKOV.
 
     Sorted by start, then kind. A candidate of the Markov models counts if it holds a digit, wins
-    by the margin, over the whole and a letter, and overlaps no base match. A null or empty text has no spans.
+    by the margin, over the whole and a letter, and overlaps no base match. A null or empty text has
+    no spans. The time is in proportion to the text and its matches, whatever their number.
     """
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    base = [matches(whole, p, i, g, n) for i, (_, p, g, n) in enumerate(BASE)]
     table_ = ratio_table(ratios)
-    rows = docs.withColumn("_base of this scan", F.array_sort(F.concat(*base)))
-    rows = rows.withColumn("_more of this scan", matches(whole, CANDIDATE, len(BASE), 0, 20))
+    base = lambda x: x["kind"] < len(BASE)
 
     def wins(x: Column) -> Column:
-        token = F.substring(whole, x["start"] + 1, x["end"] - x["start"])
-        return token.rlike("[0-9]") & (likelihood_ratio(token, table_) > F.greatest(F.lit(margin), RATE * (x["end"] - x["start"])))
+        return x["hit"].rlike("[0-9]") & (likelihood_ratio(x["hit"], table_) > F.greatest(F.lit(margin), RATE * (x["end"] - x["start"])))
 
-    def free(x: Column) -> Column:
-        return ~F.exists(F.col("_base of this scan"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    def free(found: Column) -> Column:
+        """The found spans but for candidates that a base match before them reaches into or that one begins in."""
+        reach = running(F.transform(found, lambda x: F.when(base(x), x["end"]).otherwise(0)), 0, F.greatest)
+        begins = F.reverse(running(F.reverse(F.transform(found, lambda x: F.when(base(x), x["start"]).otherwise(FAR))), FAR, F.least))
+        near = lambda n: F.filter(found, lambda x, i: base(x) | ((F.get(n, i)["r"] <= x["start"]) & (F.get(n, i)["b"] >= x["end"])))
+        return let(F.arrays_zip(reach.alias("r"), begins.alias("b")), near)
 
-    added = F.filter("_more of this scan", lambda x: free(x) & wins(x))
-    out = rows.withColumn("_more of this scan", added)
-    found = F.array_sort(F.concat("_base of this scan", "_more of this scan"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias(name))
+    def spans(whole: Column) -> Column:
+        sure = F.concat(*[matches(whole, p, i, g, n) for i, (_, p, g, n) in enumerate(BASE)])
+        more = F.filter(matches(whole, CANDIDATE, len(BASE), 0, 20), wins)
+        both = let(F.array_sort(F.concat(sure, more)), lambda found: F.when(F.exists(found, base) & F.exists(found, lambda x: ~base(x)), free(found)).otherwise(found))
+        return F.transform(both, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+
+    found = let(F.coalesce(F.col(f"`{text}`"), F.lit("")), spans)
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], found.alias(name))
 
 
 def _joined(spans: Column) -> Column:
@@ -162,6 +202,7 @@ def models(spark: SparkSession, docs: DataFrame) -> list[float]:
 
 
 def op7_secret_markov_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the numbers of base spans, their digest, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = scan(docs, models(spark, docs)).select("doc_id", "spans")
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
@@ -169,23 +210,34 @@ def op7_secret_markov_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *number, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from start to end out of its chunks; only chunks that the cut touches are read."""
+    first = F.floor(start / CHUNK).cast("int")
+    some = F.array_join(F.slice(chunks, first + 1, F.floor(end / CHUNK).cast("int") - first + 1), "")
+    return F.substring(some, start - first * CHUNK + 1, end - start)
+
+
 def redacted(docs: DataFrame, ratios: list[float], text: str = "text", mark: str = "[secret]") -> DataFrame:
     """The documents with every span of their text replaced by the mark; spans that overlap become one.
 
     n_chars, where there is such a column, is counted again for texts that changed.
     """
-    name = "_spans of this scan"
-    whole = F.col(f"`{text}`")
+    name = "_text of this scan"
+    text_ = F.col(f"`{text}`")
+
+    def clean(spans: Column, ends: Column, chunks: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        # A span that begins before an earlier one ends lies in the same mark.
+        parts = F.transform(spans, lambda x, i: F.when(x["start"] >= before(i), F.concat(_cut(chunks, before(i), x["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), _cut(chunks, F.element_at(ends, -1), F.length(text_)))
 
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(whole, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.coalesce(gap, acc["out"]).alias("out"))
+    def replaced(spans: Column) -> Column:
+        ends = running(F.transform(spans, lambda x: x["end"]), 0, F.greatest)
+        chunks = F.regexp_extract_all(text_, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+        return F.when(F.size(spans) > 0, let(ends, lambda e: let(chunks, lambda c: clean(spans, e, c))))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole)))
-    clean = F.aggregate(F.col(f"`{name}`"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, rest)
     rows = scan(docs, ratios, text, name=name)
-    hit = F.size(F.col(f"`{name}`")) > 0
-    rows = rows.withColumn(text, F.when(hit, clean).otherwise(whole))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(hit, F.length(F.col(f"`{text}`")).cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], let(F.col(f"`{name}`"), replaced).alias(name))
+    made = F.col(f"`{name}`")
+    values = {text: F.coalesce(made, text_), "n_chars": F.when(made.isNotNull(), F.length(made).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[values[c].alias(c) if c in values else F.col(f"`{c}`") for c in docs.columns])
