@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table, words
+from tidewatch.llm.common import let, table, words
 
 #: Kind, pattern, the group whose length counts, and its least length.
 BASE: tuple[tuple[str, str, int, int], ...] = (
@@ -42,11 +42,6 @@ SAMPLE_DOCS = 300
 SAMPLE_RANDOM = 1500
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """An expression that uses a value several times but computes, and holds, it once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def running(x: Column, zero: int, join: Callable[[Column, Column], Column]) -> Column:
     """What join makes of the elements of an array up to and with each, in time in proportion to the array.
 
