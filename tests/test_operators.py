@@ -228,3 +228,36 @@ def test_feed(spark):
     assert [r.id for r in feed.top_items(feed.distinct_items(rows)).collect()] == ["2", "4"]
     found, errors = feed.gathered({"a": lambda: df, "b": lambda: spark.read.parquet("/nowhere")})
     assert found.count() == 5 and set(errors) == {"b"}
+
+
+def test_model_versions_go_forth_and_back(spark, tmp_path):
+    from tidewatch.operators import promotion as V
+
+    events = V.no_versions(spark)
+    with pytest.raises(ValueError):
+        V.rollback(events)
+    events = V.promote(V.promote(events, "a"), "b")
+    assert V.live(events).first()[1:] == ("b", "a")
+    events = V.rollback(events)
+    assert V.live(events).first()[1:] == ("a", None)
+    with pytest.raises(ValueError):
+        V.rollback(events)
+    spark.range(2).write.parquet(str(tmp_path / "m/terms"))
+    V.check_model(spark, str(tmp_path / "m"), ("terms",))
+    with pytest.raises(ValueError):
+        V.check_model(spark, str(tmp_path / "m"), ("terms", "weights"))
+
+
+def test_a_retraining_round_uses_samples_once(spark):
+    from tidewatch.operators import pipelines
+
+    reports = spark.createDataFrame([(i, f"text {i}", None, f"c{i}", "user", "2024-01-01") for i in range(25)], "id long, text string, sender string, case_key string, source string, created_at string")
+    approvals = spark.createDataFrame([(f"c{i}", i % 2, "2024-01-02") for i in range(25)], "case_key string, label int, approved_at string")
+    base = spark.createDataFrame([("text 1", 1), ("other", 0)], "text string, label int")
+    used = spark.createDataFrame([], "case_key string, run string")
+    sizes = []
+    decision, after = pipelines.retraining_round(reports, approvals, used, base, "r1", lambda rows: sizes.append(rows.count()), lambda model: "REJECT")
+    assert decision == "REJECT" and after.count() == 25 and sizes == [26]  # one sample is in the base
+    assert pipelines.retraining_round(reports, approvals, after, base, "r2", lambda rows: 1 / 0, lambda model: "PROMOTE")[0] == "WAIT"
+    with pytest.raises(ZeroDivisionError):
+        pipelines.retraining_round(reports, approvals, used, base, "r3", lambda rows: 1 / 0, lambda model: "PROMOTE")

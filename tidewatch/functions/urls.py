@@ -42,10 +42,25 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"^\.+|\.+$", "")
 
 
+#: Public suffixes of two labels, under which a registered domain has three.
+SUFFIXES = (
+    "ac.kr", "co.kr", "go.kr", "hs.kr", "kg.kr", "mil.kr", "ms.kr", "ne.kr", "or.kr", "pe.kr", "re.kr", "sc.kr", "es.kr", "seoul.kr", "busan.kr",
+    "co.uk", "ac.uk", "gov.uk", "org.uk", "co.jp", "ac.jp", "go.jp", "ne.jp", "or.jp", "com.au", "net.au", "com.br", "com.cn", "com.hk", "com.tw", "co.nz", "co.in", "com.sg",
+)
+
+
 def registered_domain(host: Column) -> Column:
-    """The last two labels of a host; a public-suffix table may replace this for suffixes of two labels."""
+    """The label before a host's public suffix, with the suffix; the last two labels where no suffix of SUFFIXES ends it."""
+    return registered_domain_under(host, SUFFIXES)
+
+
+def registered_domain_under(host: Column, suffixes: tuple[str, ...]) -> Column:
+    """The same for other suffixes, of any number of labels; the longest counts. A host that is a suffix is its own domain."""
     lower = F.lower(F.trim(F.coalesce(host, F.lit(""))))
-    return F.substring_index(lower, ".", -2)
+    known = "|".join(s.replace(".", r"\.") for s in sorted(suffixes, key=lambda s: (-s.count("."), s)))
+    under = F.regexp_extract(lower, rf"(?:^|\.)([^.]+\.(?:{known}))$", 1) if suffixes else F.lit("")
+    whole = lower.rlike(rf"^(?:{known})$") if suffixes else F.lit(False)
+    return F.when(whole, lower).when(under != "", under).otherwise(F.substring_index(lower, ".", -2))
 
 
 def tld_of(host: Column) -> Column:

@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     context = spark.sparkContext
     current = context.getCheckpointDir()
+    if current is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if current is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
         current = context.getCheckpointDir()
@@ -41,11 +43,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     edges costs no more than its edges. Edges with a null end are ignored; self loops label
     their vertex with itself. Returns columns (vertex, component).
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
+    known = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).dropna()
+    pairs = stored(known.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     vertices = pairs.select(F.col("u").alias("vertex")).union(pairs.select("v")).distinct()
-    current = stored(
-        pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
+    current = pairs.where("u <> v")
     seen = None
     for _ in range(max_rounds):
         both = current.union(current.select("v", "u"))

@@ -95,6 +95,14 @@ def error_type(label: Column, predicted: Column) -> Column:
     return F.when(label == predicted, "CORRECT").when(predicted == 1, "FP").otherwise("FN")
 
 
+def error_examples(df: DataFrame, n: int = 20, key: str = "id", score: str = "score", label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """The n worst errors of each kind: false positives by falling, false negatives by rising score."""
+    y, p = F.col(label), F.col(predicted)
+    wrong = df.withColumn("type", error_type(y, p))
+    high = wrong.where((y == 0) & (p == 1)).orderBy(F.desc(score), key).limit(n)
+    return high.unionByName(wrong.where((y == 1) & (p == 0)).orderBy(score, key).limit(n))
+
+
 def group_errors(df: DataFrame, by: list[str], label: str = "label", predicted: str = "predicted") -> DataFrame:
     """Totals, accuracy, errors and error rates of each group; none gives one overall row."""
     y, p = F.col(label), F.col(predicted)

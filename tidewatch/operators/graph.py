@@ -98,6 +98,20 @@ def cluster_table(rows: DataFrame, members: DataFrame, found: DataFrame) -> Data
     return out.withColumn("risk", cluster_risk(F.col("report_count"), F.col("domain_count")))
 
 
+def cluster_sets(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """One row per cluster: its reports, and its distinct registered domains, senders and strong tokens, sorted."""
+    each = rows.join(members.select("id", "cluster"), "id")
+    kinds = F.array(
+        F.struct(F.lit("domains").alias("kind"), F.col("regs").alias("values")), F.struct(F.lit("senders").alias("kind"), F.array_compact(F.array("sender")).alias("values")),
+        F.struct(F.lit("strong").alias("kind"), F.col("strong").alias("values")),
+    )
+    values = each.select("cluster", F.explode(kinds).alias("k")).select("cluster", "k.kind", F.explode("k.values").alias("value")).distinct()
+    sets = values.groupBy("cluster").pivot("kind", ["domains", "senders", "strong"]).agg(F.sort_array(F.collect_list("value")))
+    out = each.groupBy("cluster").agg(F.sort_array(F.collect_list("id")).alias("reports")).join(sets, "cluster", "left")
+    none = F.array().cast("array<string>")
+    return out.select("cluster", "reports", *[F.coalesce(c, none).alias(c) for c in ("domains", "senders", "strong")])
+
+
 def match(inputs: DataFrame, rows: DataFrame, members: DataFrame, profile: Profile = KOREAN, key: str = "id") -> DataFrame:
     """(key, cluster, match_type, shared, similar) for inputs that match a cluster.
 

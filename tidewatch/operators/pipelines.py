@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +72,18 @@ def graph(reports: DataFrame, profile: Profile = KOREAN) -> tuple[DataFrame, Dat
     return found, G.edges(known, members, found)
 
 
+def retraining_round(reports: DataFrame, approvals: DataFrame, used: DataFrame, base: DataFrame, run: str, train: Callable[[DataFrame], object], judge: Callable[[object], str]) -> tuple[str, DataFrame]:
+    """One round: samples that no run used, the training set of base and samples, training and the gate.
+
+    train gets the set (text, label) and returns a model, judge says PROMOTE or REJECT of it. Returns
+    the decision and the uses, with this run's unless it had too few samples. An error leaves no use.
+    """
+    samples = P.approved_samples(reports, approvals, used)
+    if not P.retraining_ready(samples).first().ready:
+        return "WAIT", used
+    return judge(train(P.training_set(base, samples))), P.mark_used(used, samples, run)
+
+
 def trends(reports: DataFrame, n: int = 5, profile: Profile = KOREAN) -> DataFrame:
     """(kind, label, count): the n most frequent categories and registered domains of user reports, each report once."""
     user = reports.where(F.col("source") == "user")

@@ -89,6 +89,46 @@ def labelled(df: DataFrame, text: str, label: str, classes: dict[int, int] | Non
     return rows
 
 
+def common(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys that both have."""
+    return df.select(*keys).intersect(other.select(*keys))
+
+
+def group_summary(df: DataFrame, group: list[str], first: str) -> DataFrame:
+    """Rows of each group and its smallest value of a column, as its first whatever the order of rows."""
+    return df.groupBy(*group).agg(F.count("*").alias("rows"), F.min(first).alias("first"))
+
+
+def flag_summary(df: DataFrame, flags: list[str], label: str) -> DataFrame:
+    """How many rows of each label have a flag, and their share."""
+    each = [x for c in flags for x in (F.sum(c).alias(f"{c}_sum"), F.round(F.avg(c), 4).alias(f"{c}_mean"))]
+    return df.groupBy(label).agg(F.count("*").alias("rows"), *each)
+
+
+def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
+    """Rows by two columns, a column for each value."""
+    out = df.groupBy(row).pivot(column, values).count()
+    return out.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{column}_{v}") for v in values])
+
+
+def newest(df: DataFrame, by: list[str], time: str, tie: str, n: int = 5) -> DataFrame:
+    """The n newest rows of each group."""
+    along = W.partitionBy(*by).orderBy(F.desc(time), F.desc(tie))
+    return df.withColumn("_n", F.row_number().over(along)).where(F.col("_n") <= n).drop("_n")
+
+
+def bar_percent(counts: DataFrame, count: str = "count") -> DataFrame:
+    """Append percent: a count over the largest, half a percent rounded up. One row for each bar of a ranking."""
+    most = counts.agg(F.greatest(F.max(count), F.lit(1)).alias("_most"))
+    return counts.crossJoin(F.broadcast(most)).withColumn("percent", F.floor(F.col(count) * 100 / F.col("_most") + 0.5).cast("int")).drop("_most")  # one row
+
+
+def first_present(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
+    """The columns of names, each the first value that is not null of its candidates that df has."""
+    found = {name: [F.col(c) for c in candidates if c in df.columns] for name, candidates in names.items()}
+    return df.select(*[(F.coalesce(*c) if c else F.lit(None).cast("string")).alias(name) for name, c in found.items()])
+
+
 def value_counts(df: DataFrame, column: str | Column) -> DataFrame:
     key = F.col(column) if isinstance(column, str) else column
     return df.groupBy(key.alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")

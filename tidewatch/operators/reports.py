@@ -91,6 +91,11 @@ def approved_samples(reports: DataFrame, approvals: DataFrame, used: DataFrame |
     return rows.agg(F.min("text").alias("text"), F.min("sender").alias("sender"), F.count("*").alias("report_count")).orderBy("approved_at", "case_key")
 
 
+def mark_used(used: DataFrame, samples: DataFrame, run: str) -> DataFrame:
+    """The uses (case_key, run) with those of a run, of every sample whether or not the run's model is promoted."""
+    return used.select("case_key", "run").unionByName(samples.select("case_key").distinct().withColumn("run", F.lit(run)))
+
+
 def retraining_ready(samples: DataFrame, least: int = READY) -> DataFrame:
     return samples.agg(F.count("*").alias("samples"), (F.count("*") >= least).alias("ready"))
 

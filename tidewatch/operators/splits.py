@@ -22,7 +22,7 @@ def assigned(groups: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES,
     task holds them all.
     """
     total = groups.groupBy("label").agg(F.ceil(F.count("*") / dealt).alias("_parts"))
-    ordered = groups.join(total, "label").withColumn("_h", F.xxhash64(F.lit(seed), "group")).withColumn("_part", F.pmod("_h", F.greatest("_parts", F.lit(1))))
+    ordered = groups.join(total, "label").withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("group").cast("string")))).withColumn("_part", F.pmod(F.xxhash64("_h"), F.greatest("_parts", F.lit(1))))
 
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rows", "_h", "group"], ascending=[False, True, True])
@@ -73,6 +73,7 @@ def balanced(phishing: DataFrame, normal: DataFrame, n: int, url: str = "url", d
     Rows carry label and come in a seeded order.
     """
     clean = normal.join(phishing.select(domain).distinct(), domain, "left_anti").select(*normal.columns)
-    some = phishing.orderBy(F.xxhash64(F.lit(seed), url), url).limit(n).withColumn("label", F.lit(1))
-    best = clean.orderBy(rank, domain).limit(n).withColumn("label", F.lit(0))
-    return some.unionByName(best, allowMissingColumns=True).orderBy(F.xxhash64(F.lit(seed), url, "label"), url)
+    order = lambda *c: F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(x).cast("string") for x in c]))
+    some = phishing.orderBy(order(url), url).limit(n).withColumn("label", F.lit(1))
+    best = clean.orderBy(rank, domain, url).limit(n).withColumn("label", F.lit(0))
+    return some.unionByName(best, allowMissingColumns=True).orderBy(order(url, "label"), url)

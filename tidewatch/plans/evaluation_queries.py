@@ -13,6 +13,7 @@ from tidewatch.operators import generators
 from tidewatch.operators import relational as R
 from tidewatch.operators import splits as Split
 from tidewatch.plans.tables import predictions, table, urls
+from tidewatch.plans.url_queries import _IP, _REG, HOSTS, URLS
 
 FIXED = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
@@ -28,9 +29,9 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles as labels of conversation texts: texts that both roles say."""
-    rows = table(spark, sf_dir, "conversations").select(F.md5("text").alias("content"), "role")
-    return R.conflicts(rows, "content", "role")
+    """Sources as labels of texts: texts that several sources have."""
+    rows = table(spark, sf_dir, "documents").select(F.md5("text").alias("content"), "source")
+    return R.conflicts(rows, "content", "source")
 
 
 def conflict_free(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +40,9 @@ def conflict_free(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anti_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns whose trimmed text no document has."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return R.not_in(rows, table(spark, sf_dir, "documents"), ["text"], trim=True).select("conv_id", "turn")
+    """Documents of odd number whose trimmed text no document of even number has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return R.not_in(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), ["text"], trim=True).select("doc_id")
 
 
 def anti_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ def family_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictions(spark, sf_dir).groupBy("lang").agg(F.count_if(F.col("label") == 0).alias("label_0"), F.count_if(F.col("label") == 1).alias("label_1"))
+    return R.crosstab(predictions(spark, sf_dir), "lang", "label", [0, 1])
 
 
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,10 +206,10 @@ _RULE = "round(least(1.0, CAST(" + " + ".join(f"CASE WHEN contains(text, '{k}')
 _CONF = lambda t: f"(SELECT *, {_RATIOS} FROM (SELECT {_CELLS} FROM (SELECT label, CASE WHEN score >= {t} THEN 1 ELSE 0 END AS predicted FROM p)))"
 ORACLES = {
     "exact_dedupe_docs": "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
-    "label_conflicts": "SELECT md5(text) AS content, count(DISTINCT role) AS labels, count(*) AS rows FROM conversations GROUP BY 1 HAVING count(DISTINCT role) > 1",
+    "label_conflicts": "SELECT md5(text) AS content, count(DISTINCT source) AS labels, count(*) AS rows FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "conflict_free": """WITH r AS (SELECT md5(text) AS content, toxic AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id), k AS (SELECT content FROM r GROUP BY content HAVING count(DISTINCT label) = 1)
       SELECT label, count(*) AS rows, count(DISTINCT content) AS contents FROM r WHERE content IN (SELECT content FROM k) GROUP BY label""",
-    "anti_benchmark": "SELECT conv_id, turn FROM conversations WHERE trim(text) NOT IN (SELECT trim(text) FROM documents)",
+    "anti_benchmark": "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND trim(text) NOT IN (SELECT trim(text) FROM documents WHERE doc_id % 2 = 0)",
     "anti_composite": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0))",
     "confusion_metrics": f"WITH {_P} SELECT *, {_RATIOS} FROM (SELECT {_CELLS} FROM q)",
     "threshold_sweep": f"{_SWEEP} SELECT * FROM s",
@@ -230,5 +231,13 @@ ORACLES = {
         count(*) FILTER (label = 1 AND was = 1 AND predicted = 0) AS evaded FROM q JOIN o ON q.doc_id = o.doc_id GROUP BY condition),
       r AS (SELECT *, {_RATIOS}, round(CASE WHEN retained + evaded = 0 THEN 0 ELSE retained / (retained + evaded) END, 6) AS retention FROM c), b AS (SELECT accuracy AS a0, recall AS r0, f1 AS f0 FROM r WHERE condition = 'original')
       SELECT r.*, round(a0 - accuracy, 6) AS accuracy_drop, round(r0 - recall, 6) AS recall_drop, round(f0 - f1, 6) AS f1_drop FROM r CROSS JOIN b""",
+    "domain_split": f"""WITH RECURSIVE {URLS}, {HOSTS}, r AS (SELECT url, {_REG} AS domain FROM h), g AS (SELECT domain, count(*) AS n FROM r GROUP BY domain),
+      o AS (SELECT domain, n, row_number() OVER (ORDER BY n DESC, md5('42:' || domain), domain) AS i, CAST(sum(n) OVER () AS DOUBLE) AS t FROM g),
+      d AS (SELECT 0::BIGINT AS i, ''::VARCHAR AS domain, ''::VARCHAR AS split, 0.7 * max(t) AS a, 0.15 * max(t) AS b, 0.15 * max(t) AS c FROM o
+        UNION ALL SELECT o.i, o.domain, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'validation' ELSE 'test' END, CASE WHEN a >= b AND a >= c THEN a - n ELSE a END,
+          CASE WHEN NOT (a >= b AND a >= c) AND b >= c THEN b - n ELSE b END, CASE WHEN NOT (a >= b AND a >= c) AND b < c THEN c - n ELSE c END FROM d JOIN o ON o.i = d.i + 1)
+      SELECT url, r.domain, split FROM r JOIN d ON r.domain = d.domain""",
+    "balanced_urls": f"""WITH {URLS}, {HOSTS}, r AS (SELECT url, h AS domain, {_IP} AS ip FROM h), p AS (SELECT url, domain, 1 AS label FROM r WHERE ip ORDER BY md5('42:' || url), url LIMIT 100),
+      n AS (SELECT url, domain, 0 AS label FROM r WHERE NOT ip AND domain NOT IN (SELECT domain FROM r WHERE ip) ORDER BY length(url), domain, url LIMIT 100) SELECT * FROM p UNION ALL SELECT * FROM n""",
     "split_leakage": "SELECT count(*) AS rows, 0::BIGINT AS unassigned, 0::BIGINT AS leaks FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
 }

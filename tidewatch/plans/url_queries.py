@@ -85,7 +85,8 @@ def tld_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_feature_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.feature_quantiles(_flagged(spark, sf_dir), ["host_length", "subdomain_count", "host_digit_ratio", "url_length"], "flag")
+    """Every feature of a URL by class."""
+    return R.feature_quantiles(U.url_features(_flagged(spark, sf_dir).select("url", "flag"), profile=ENGLISH), list(U.FEATURES), "flag")
 
 
 def binary_feature_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,9 +134,8 @@ ORACLES = {
         + CASE WHEN host_digit_ratio >= 0.10 THEN 1 ELSE 0 END + CASE WHEN has_ip_address < 1 AND subdomain_count >= 2 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence, rule_score >= 0.20 AS is_suspicious FROM r""",
     "tld_statistics": f"""{_FLAG} SELECT tld, count(*) FILTER (flag = 0) AS normal, count(*) FILTER (flag = 1) AS phishing, round(count(*) FILTER (flag = 1) / count(*), 6) AS rate,
         count(*) FILTER (flag = 1) >= 20 AND round(count(*) FILTER (flag = 1) / count(*), 6) >= 0.90 AS candidate FROM g GROUP BY tld""",
-    "host_feature_quantiles": f"""{_FLAG}, x AS (SELECT g.url, g.flag, length(g.h) AS host_length, g.subdomain_count, g.host_digit_ratio, length(h.u) AS url_length FROM g JOIN h ON g.url = h.url),
-      l AS (SELECT 'host_length' AS feature, flag, CAST(host_length AS DOUBLE) AS v FROM x UNION ALL SELECT 'subdomain_count', flag, subdomain_count FROM x
-        UNION ALL SELECT 'host_digit_ratio', flag, host_digit_ratio FROM x UNION ALL SELECT 'url_length', flag, CAST(url_length AS DOUBLE) FROM x)
+    "host_feature_quantiles": f"""{_FLAG}, x AS (SELECT url, {", ".join(f"CAST({_SQL[k]} AS DOUBLE) AS {k}" for k in U.FEATURES)} FROM h), y AS (SELECT x.*, flag FROM x JOIN g ON x.url = g.url),
+      l AS ({" UNION ALL ".join(f"SELECT '{k}' AS feature, flag, {k} AS v FROM y" for k in U.FEATURES)})
       SELECT feature, flag AS class, count(v) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.9), 6) AS p90,
         round(quantile_cont(v, 0.95), 6) AS p95, round(max(v), 6) AS max FROM l GROUP BY feature, flag""",
     "binary_feature_rates": f"{_FLAG} SELECT flag, count(*) AS rows, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in BINARY) + " FROM g GROUP BY flag",

@@ -64,8 +64,11 @@ def block_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """Cached alerts, from a list or from the items of an object; a file that is no JSON gives none."""
-    rows = spark.read.schema(f"{FEED}, items array<struct<{FEED}>>").option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    """Cached alerts, one to a line, from a list, or from the items of an object; a file that is no JSON gives none."""
+    reader = spark.read.schema(f"{FEED}, items array<struct<{FEED}>>").option("mode", "DROPMALFORMED")
+    rows = reader.json(path)
+    if rows.where("id IS NOT NULL OR url IS NOT NULL OR title IS NOT NULL OR items IS NOT NULL").isEmpty():
+        rows = reader.option("multiLine", "true").json(path)  # a list or object over several lines
     flat = rows.where("items IS NULL").drop("items")
     return flat.unionByName(rows.where("items IS NOT NULL").select(F.explode("items").alias("i")).select("i.*")).where("id IS NOT NULL OR url IS NOT NULL OR title IS NOT NULL")
 

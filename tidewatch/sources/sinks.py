@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; arrays and structs as JSON."""
+def csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV with a header, after a byte-order mark unless that is not wanted; arrays and structs as JSON."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    out = df.select(*flat)
+    out = out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0]) if mark else out
+    out.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
 def feed(df: DataFrame, path: str) -> bool:

@@ -15,14 +15,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.lexicons import KOREAN, Profile
 from tidewatch.operators import feed as A
+from tidewatch.operators.components import stored
 from tidewatch.operators.reports import status_of
 from tidewatch.sources import sinks
 
 EVERY = "30 minutes"
 
 
-def feed_cycle(items: DataFrame, cache: str, checkpoint: str, every: str | None = EVERY, profile: Profile = KOREAN, keep: int = 20) -> StreamingQuery:
-    """Every cycle, classify the new items, merge them with the cached ones and replace the cache.
+def feed_cycle(items: DataFrame, cache: str, checkpoint: str, every: str | None = EVERY, profile: Profile = KOREAN) -> StreamingQuery:
+    """Every cycle, classify the new items, merge them with all cached ones and replace the cache; readers take the newest.
 
     A batch without alerts leaves the cache as it is. Without a cycle it runs over what is there and ends.
     """
@@ -34,9 +35,8 @@ def feed_cycle(items: DataFrame, cache: str, checkpoint: str, every: str | None
             old = spark.read.schema(new.schema).json(cache)
         except Exception:  # no cache yet
             old = new.limit(0)
-        rows = A.top_items(A.distinct_items(old.unionByName(new, allowMissingColumns=True)), keep).toPandas()  # keep rows
-        if len(rows):
-            sinks.feed(spark.createDataFrame(rows, new.schema), cache)
+        # Stored first: the cache is read while its replacement is made.
+        sinks.feed(stored(A.distinct_items(old.unionByName(new, allowMissingColumns=True)), "feed"), cache)
 
     writer = items.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
