@@ -95,3 +95,12 @@ def test_packing_round_trip():
 def test_discounts():
     assert katz.good_turing([100, 40, 20, 12, 8, 6])[0] < 1
     assert katz.good_turing([0] * 6) == [1 - 0.5 / r for r in range(1, 6)]
+
+
+def test_messages_grow_with_the_text():
+    """Blocks times buckets, as the sizes make them: in proportion to the text from BASE_BYTES on."""
+    n = lambda size: (size / 6 / katz.sizes(size)[0]) * (size / 6 / katz.sizes(size)[1])
+    assert katz.sizes(10**9) == (katz.BLOCK_TOKENS, katz.BUCKET_GRAMS)
+    for factor in (4, 100, 1000):
+        assert n(factor * katz.BASE_BYTES) / n(katz.BASE_BYTES) == pytest.approx(factor, rel=0.01)
+        assert 0.7 * factor * katz.BASE_BYTES / 6 / n(factor * katz.BASE_BYTES) > 50

@@ -35,10 +35,12 @@ from tidewatch.operators.components import stored
 ORDER = 2
 #: Counts up to which Good-Turing discounts; higher ones are taken as they are.
 K = 5
-#: Tokens after which a block ends, and distinct n-grams that a bucket is meant to hold.
+#: Tokens after which a block ends, and distinct n-grams that a bucket is meant to hold, up to BASE_BYTES of text.
+#: Beyond, both grow with the square root of the text, so the messages between them, blocks times
+#: buckets, grow with the text itself and hold 100 n-grams and more.
 BLOCK_TOKENS = 1_000_000
 BUCKET_GRAMS = 2_000_000
-MAX_BUCKETS = 1 << 16
+BASE_BYTES = 100 << 30
 #: Words numbered first in every block; they hold a blank, which no word does.
 MARKS = (b" end", b" begin")
 END, BEGIN = 0, 1
@@ -232,6 +234,12 @@ def answered(asked: DataFrame, kind: int, order: int) -> DataFrame:
     return stored(asked.groupBy("bucket").applyInArrow(run, ANSWER), f"katz-{('counts', 'weights')[kind]}", ["order"])
 
 
+def sizes(n_bytes: int) -> tuple[int, int]:
+    """Tokens of a block and n-grams of a bucket for so many bytes of text."""
+    factor = max(1.0, n_bytes / BASE_BYTES) ** 0.5
+    return int(BLOCK_TOKENS * factor), int(BUCKET_GRAMS * factor)
+
+
 def good_turing(counts: list[int]) -> list[float]:
     """Discount factors for counts 1 to K from the numbers of n-grams seen 1 to K+1 times.
 
@@ -339,21 +347,26 @@ def _with_answers(blocks: DataFrame, answers: DataFrame):
     return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
 
 
-def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, block_tokens: int | None = None, bucket_grams: int | None = None) -> DataFrame:
     """Learn a model of an order from the rows where train holds, and score every row.
 
     Returns key, train, n_tokens, n_known (training knows the token), train_tokens, base_score (the
     sum of log10 of unigram probabilities with 0.1 added to each count) and score (log10 of the
     text's probability under the model). The end counts as a token, so an empty or null text is
-    one token. Words that training lacks are one unknown word; histories that it lacks back off
+    one token. N-grams are told apart by 64-bit hashes: of N distinct ones about N * N / 2 ** 65 pairs
+    share a hash and add their counts up, none to be expected below some billions, one n-gram in 4e7
+    at 1e12. Words that training lacks are one unknown word; histories that it lacks back off
     without a weight. A null flag doesn't train; without training rows every token is unknown,
     with probability one. Repeated rows are scored, and learnt from, as often as they occur.
     """
     if order < 1:
         raise ValueError("order must be 1 or more")
+    if block_tokens is None or bucket_grams is None:
+        block, bucket = sizes(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("binary")))).first()[0] or 0)
+        block_tokens, bucket_grams = block_tokens or block, bucket_grams or bucket
     blocks = stored(encoded(docs, key, text, F.coalesce(train, F.lit(False)), block_tokens), "katz-blocks")
     n = blocks.agg(F.sum(F.octet_length("vocabulary")).alias("v"), F.count("*").alias("b")).first()
-    bits_for = lambda grams: max(0, min(MAX_BUCKETS, grams // bucket_grams)).bit_length()
+    bits_for = lambda grams: (grams // bucket_grams).bit_length()
     word_bits, gram_bits = bits_for((n.v or 0) // 8), bits_for(n.b * block_tokens)
     model, answers = Model(order), None
     for k in range(1, order + 1):
@@ -385,6 +398,7 @@ def scores(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
 
 
 def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its fold, token counts, the add-0.1 unigram score and the Katz score."""
     train = F.pmod(id_hash(F.col("doc_id")), F.lit(10)) != 0
     found = scores(table(spark, sf_dir, "documents"), train)
     return found.select(F.col("key").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     """Fit on at most max_rows labelled documents outside the held-out fold.
 
     Null keys and labels other than 0 and 1 are passed over; a key with several labels takes their
-    larger half (ties: 1). No usable row gives the prior one half.
+    larger half (ties: 1); of several texts of a key the one with the smallest statistics is taken.
+    So at most max_rows rows come to the driver. No usable row gives the prior one half.
     """
     known = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where(F.col("_key").isNotNull() & F.col("_label").isin(0, 1) & ~held_out("_key"))
     known = known.groupBy("_key").agg(F.avg("_label").alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
@@ -130,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
         return [features(_counts(batch)).tolist()]
 
     rows = with_arrow_columns(chosen, {"text": F.col("_text").cast("binary")}, [T.StructField("x", T.ArrayType(T.DoubleType()))], compute, ["_key", "_label"])
-    found = sorted((r._key, tuple(r.x), r._label) for r in rows.orderBy("_key", "x").limit(2 * max_rows).collect())
+    found = sorted((r._key, tuple(r.x), r._label) for r in rows.groupBy("_key", "_label").agg(F.min("x").alias("x")).collect())
     x = np.array([r[1] for r in found], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([float(r[2] >= 0.5) for r in found]))
 
