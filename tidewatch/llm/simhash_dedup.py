@@ -2,10 +2,11 @@
 
 Fingerprints within ``radius`` differing bits are linked. Two fingerprints of 64 bits in seven
 blocks that differ in at most four bits agree on at least three blocks, so every linked pair meets
-under one of the 35 block triples. Under a key, a table of Hamming distances to fixed reference
-fingerprints (pivots) comes before any comparison: by the triangle inequality a linked pair differs
-by at most ``radius`` in every coordinate. One coordinate, cut into cells, is part of the join key;
-the largest difference over all coordinates discards further pairs; the survivors are verified.
+under one of the 35 block triples. The fingerprints that meet have a table of Hamming distances to
+fixed reference fingerprints (pivots): by the triangle inequality a linked pair differs by at most
+``radius`` in every coordinate. One coordinate, cut into cells, is part of the key that joins pairs;
+the largest difference over all coordinates discards pairs, those with a hub as well; the survivors
+are verified.
 
 A dense group of copies never becomes all its pairs. Equal fingerprints are one row. Members of a
 key are first compared with the smallest and the largest fingerprint of that key only; the
@@ -30,6 +31,8 @@ from tidewatch.operators.components import connected_components, stored
 SHINGLE = 4
 RADIUS = 4
 PIVOTS = 16
+#: A root that holds over one in this many rows is joined apart from the others; fewer roots than this can.
+LARGE = 1000
 #: Widths of the seven blocks, from the lowest bit.
 BLOCKS = (9, 9, 9, 9, 9, 9, 10)
 
@@ -89,6 +92,32 @@ def _differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _coordinates(fp: Column, n_pivots: int) -> Column:
+    """The row of the pivot table: the Hamming distance of a fingerprint to every pivot."""
+    return F.array(*[_differ(fp, F.lit(p)).cast("byte") for p in _pivots(n_pivots)])
+
+
+def _linked(a: Column, b: Column, d: Column, d2: Column, radius: int, n_pivots: int) -> Column:
+    """Pairs that no coordinate discards, verified by their bits."""
+    return (F.greatest(*[F.abs(d[i] - d2[i]) for i in range(n_pivots)]) <= radius) & (_differ(a, b) <= radius)
+
+
+def _with_root(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """rows with the columns of their root's one row in values, null where it has none.
+
+    Rows of a root that holds more than one in LARGE of them stay where they are and the root's
+    values, fewer than LARGE rows, are broadcast; so no task gets all of a large component. The
+    other rows are joined by root. Both tables must be stored ones: they are read several times.
+    """
+    total = rows.count()
+    large = stored(rows.groupBy("root").count().where(F.col("count") * LARGE > total).select("root"), "large")
+    ahead = F.broadcast(values.join(F.broadcast(large), "root", "left_semi"))
+    few = F.broadcast(large)
+    return rows.join(few, "root", "left_semi").join(ahead, "root", "left").unionByName(
+        rows.join(few, "root", "left_anti").join(values.join(few, "root", "left_anti"), "root", "left")
+    )
+
+
 def fingerprint_components(distinct: DataFrame, radius: int = RADIUS, n_pivots: int = PIVOTS) -> DataFrame:
     """(fp, root) for a table with one row per fingerprint; root is the smallest fingerprint reachable.
 
@@ -102,25 +131,26 @@ def fingerprint_components(distinct: DataFrame, radius: int = RADIUS, n_pivots:
         F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(masks)])).alias("k"),
     ).select("fp", "k.t", "k.m")
     crowded = keyed.groupBy("t", "m").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    met = stored(keyed.join(crowded, ["t", "m"]), "met")
-    hubs = met.select("fp", F.explode(F.array("lo", "hi")).alias("hub")).where(F.col("fp") != F.col("hub"))
-    near = hubs.where(_differ(F.col("fp"), F.col("hub")) <= radius)
+    met = keyed.join(crowded, ["t", "m"]).withColumn("d", _coordinates(F.col("fp"), n_pivots))
+    met = stored(met, "met")
+    hubs = met.select("fp", "d", F.explode(F.array("lo", "hi")).alias("hub")).where(F.col("fp") != F.col("hub"))
+    hubs = hubs.withColumn("d2", _coordinates(F.col("hub"), n_pivots))
+    near = hubs.where(_linked(F.col("fp"), F.col("hub"), F.col("d"), F.col("d2"), radius, n_pivots))
     first = stored(connected_components(near, "fp", "hub"), "first")
-    rooted = met.join(first, met["fp"] == first["vertex"], "left").select("t", "m", "fp", F.coalesce("component", "fp").alias("root"))
+    rooted = met.join(first, met["fp"] == first["vertex"], "left").select("t", "m", "fp", "d", F.coalesce("component", "fp").alias("root"))
     apart = rooted.groupBy("t", "m").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("t", "m")
-    coordinates = F.array(*[_differ(F.col("fp"), F.lit(p)).cast("byte") for p in _pivots(n_pivots)])
-    left = rooted.join(apart, ["t", "m"]).withColumn("d", coordinates).withColumn("cell", F.floor(F.col("d")[0] / F.lit(radius + 1)).cast("int"))
+    left = rooted.join(apart, ["t", "m"]).withColumn("cell", F.floor(F.col("d")[0] / F.lit(radius + 1)).cast("int"))
     left = stored(left, "apart")
     right = left.select(
         "t", "m", F.col("fp").alias("fp2"), F.col("root").alias("root2"), F.col("d").alias("d2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
     )
-    close = F.greatest(*[F.abs(F.col("d")[i] - F.col("d2")[i]) for i in range(n_pivots)]) <= radius
-    pairs = left.join(right, ["t", "m", "cell"]).where((F.col("root") < F.col("root2")) & close & (_differ(F.col("fp"), F.col("fp2")) <= radius))
+    close = _linked(F.col("fp"), F.col("fp2"), F.col("d"), F.col("d2"), radius, n_pivots)
+    pairs = left.join(right, ["t", "m", "cell"]).where((F.col("root") < F.col("root2")) & close)
     second = connected_components(pairs.select("root", "root2").distinct(), "root", "root2")
-    second = second.select(F.col("vertex").alias("root"), F.col("component").alias("top"))
+    second = stored(second.select(F.col("vertex").alias("root"), F.col("component").alias("top")), "second")
     merged = first.select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
     labels = distinct.select("fp").join(merged, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return labels.join(second, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    return _with_root(stored(labels, "labels"), second).select("fp", F.coalesce("top", "root").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -135,8 +165,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     distinct = stored(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("low")), "distinct")
     roots = fingerprint_components(distinct, radius)
     lows = stored(roots.join(distinct, "fp"), "roots")
-    ids = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = lows.join(ids, "root").select(F.col("fp").alias("fingerprint"), "root", "component_id")
+    ids = stored(lows.groupBy("root").agg(F.min("low").alias("component_id")), "ids")
+    by_fp = _with_root(lows, ids).select(F.col("fp").alias("fingerprint"), "root", "component_id")
     return marked.join(by_fp, "fingerprint").select(key, "fingerprint", "root", "component_id")
 
 
