@@ -138,8 +138,9 @@ ORACLES = {
     "campaign_activity_24h": f"""WITH {_REPORTS}, s AS (SELECT sender, count(*) AS reports, min(created_at) AS first_seen, max(created_at) AS last_seen,
       count(*) FILTER (created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS) AS last_day FROM e WHERE created_at <= TIMESTAMP '{AS_OF}' GROUP BY sender)
       SELECT *, CASE WHEN last_day >= 5 THEN 'rapidly_spreading' WHEN last_day >= 1 THEN 'active' ELSE 'historical' END AS status FROM s""",
-    "components": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity >= 49),
-      n AS (SELECT DISTINCT a.s AS a, b.s AS b FROM l a JOIN l b ON a.p = b.p), r AS (SELECT a, b FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a) SELECT a AS vertex, min(b) AS component FROM r GROUP BY a""",
+    "components": """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
+      n AS (SELECT DISTINCT a.s AS a, b.s AS b FROM (SELECT p, min(s) AS s FROM l GROUP BY p) a JOIN l b ON a.p = b.p), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
+      r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS vertex, min(least(a, b)) AS component FROM r GROUP BY a""",
     "graph_nodes": f"{_GRAPH} SELECT DISTINCT 'url:' || host AS id, host AS label, 'url' AS type, cluster FROM p JOIN num ON p.reg = num.reg",
     "graph_edges": f"{_GRAPH} SELECT source, target FROM edges",
     "cluster_risk": f"""{_GRAPH} SELECT cluster, count(*) AS report_count, count(DISTINCT p.reg) AS domain_count, count(DISTINCT host) AS size,
