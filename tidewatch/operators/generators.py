@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _pick(values: list[str], *parts: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64(*parts), F.lit(len(values))) + 1).cast("int"))
+    """One of the values by the first 32 bits of the MD5 of the parts, which any SQL engine can follow."""
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 
 
 def fill(template: Column, slots: dict[str, list[str]], *parts: Column) -> Column:

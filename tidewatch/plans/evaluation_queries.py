@@ -153,9 +153,12 @@ def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(table(spark, sf_dir, "benchmark"))
 
 
+_SPECS = [("delivery", "parcel", "Parcel {n} arrives at {time}.", "Parcel {n} is held, pay at {site}."), ("bank", "card", "Card payment {n} of {time} is done.", "Card {n} is blocked, log in at {site}.")]
+_SLOTS = {"time": ["9:00", "12:30", "18:15"], "site": ["a.example.com", "b.example.net"]}
+
+
 def synthetic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = [("delivery", "parcel", "Parcel {n} arrives at {time}.", "Parcel {n} is held, pay at {site}."), ("bank", "card", "Card payment {n} of {time} is done.", "Card {n} is blocked, log in at {site}.")]
-    return generators.pairs(spark, specs, {"time": ["9:00", "12:30", "18:15"], "site": ["a.example.com", "b.example.net"]}, 50)
+    return generators.pairs(spark, _SPECS, _SLOTS, 50)
 
 
 QUERIES = {
@@ -204,7 +207,16 @@ def _variant_sql() -> str:
 
 _RULE = "round(least(1.0, CAST(" + " + ".join(f"CASE WHEN contains(text, '{k}') THEN {w} ELSE 0 END" for k, w in ENGLISH.keywords) + " AS DOUBLE)), 4)"
 _CONF = lambda t: f"(SELECT *, {_RATIOS} FROM (SELECT {_CELLS} FROM (SELECT label, CASE WHEN score >= {t} THEN 1 ELSE 0 END AS predicted FROM p)))"
+_picked = lambda name, values: f"[{', '.join(repr(v) for v in values)}][('0x' || substr(md5('42:' || id || ':{name}'), 1, 8))::BIGINT % {len(values)} + 1]"
+_FILLED = "replace(t, '{n}', id::VARCHAR)"
+for _name, _values in _SLOTS.items():
+    _FILLED = f"replace({_FILLED}, '{{{_name}}}', {_picked(_name, _values)})"
+_TEMPLATES = " UNION ALL ".join(f"SELECT {i} AS at, {label} AS label, '{a}' AS scenario, '{b}' AS subtype, '{t}' AS t" for i, (a, b, *ts) in enumerate(_SPECS) for label, t in enumerate(ts))
 ORACLES = {
+    "content_fingerprint": """WITH r AS (SELECT sha256(json_object('item_id', item_id, 'text', text)::VARCHAR) AS h FROM benchmark),
+      g AS (SELECT substr(h, 1, 3) AS g, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, sha256(coalesce(string_agg(h, '' ORDER BY g), '')) AS sha256 FROM g""",
+    "synthetic_pairs": f"""WITH t AS ({_TEMPLATES}), n AS (SELECT range AS id FROM range({len(_SPECS) * 50}))
+      SELECT id * 2 + label AS id, id AS pair_id, {_FILLED} AS text, label, scenario, subtype FROM n JOIN t ON n.id % {len(_SPECS)} = t.at""",
     "exact_dedupe_docs": "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
     "label_conflicts": "SELECT md5(text) AS content, count(DISTINCT source) AS labels, count(*) AS rows FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "conflict_free": """WITH r AS (SELECT md5(text) AS content, toxic AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id), k AS (SELECT content FROM r GROUP BY content HAVING count(DISTINCT label) = 1)
