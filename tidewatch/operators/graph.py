@@ -10,7 +10,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
@@ -19,6 +18,7 @@ from tidewatch.functions.scoring import cluster_risk
 from tidewatch.functions.urls import registered_domain
 from tidewatch.lexicons import KOREAN, Profile
 from tidewatch.operators.components import connected_components, stored
+from tidewatch.operators.relational import numbered
 from tidewatch.operators.similarity import sharing_pairs
 
 SPREADING = 5
@@ -47,8 +47,8 @@ def clusters(rows: DataFrame) -> DataFrame:
     """(id, root, cluster): the smallest linked report and the cluster's number, for every report."""
     labels = connected_components(links(rows), "a", "b")
     rooted = rows.select("id").join(labels, F.col("id") == F.col("vertex"), "left").select("id", F.coalesce("component", "id").alias("root"))
-    roots = rooted.select("root").distinct().withColumn("cluster", F.row_number().over(W.orderBy("root")) - 1)  # a row for each cluster
-    return stored(rooted.join(roots, "root"), "clusters")
+    rooted = stored(rooted, "rooted")
+    return stored(rooted.join(numbered(rooted.select("root").distinct(), ["root"], "cluster"), "root"), "clusters")
 
 
 def nodes(rows: DataFrame, members: DataFrame, profile: Profile = KOREAN, least: int = 2) -> DataFrame:

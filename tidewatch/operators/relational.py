@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import require_columns
+from tidewatch.operators.components import stored
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -61,11 +62,12 @@ def text_column(df: DataFrame, candidates: tuple[str, ...] = ("text", "content",
 def numbered(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Append 0, 1, 2 … in order, without gathering the rows in one task.
 
-    Rows are ranged by the order, counted by range, and numbered within their range.
+    Rows are ranged by the order, counted by range, and numbered within their range. The ranges come
+    from a sample, so they are written once: made twice, they could differ.
     """
     ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     within = W.partitionBy("_p").orderBy(*order)
-    counted = ranged.withColumn("_n", F.row_number().over(within))
+    counted = stored(ranged.withColumn("_n", F.row_number().over(within)), "numbered")
     sizes = counted.groupBy("_p").agg(F.count("*").alias("_c"))
     starts = sizes.withColumn("_s", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     out = counted.join(F.broadcast(starts.select("_p", "_s")), "_p")  # a row for each range
