@@ -13,6 +13,7 @@ from tidewatch.llm.simhash_dedup import op6_simhash_pivot_dedup
 from tidewatch.llm.source_mixing import op1_mix_sources
 from tidewatch.llm.token_counts import op8_token_counts
 from tidewatch.llm.warc_derivatives import op3_warc_derivatives
+from tidewatch.llm.wavelet_ids import op11_wavelet_ids
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_html_main_text": op9_html_main_text,
     "op10_benchmark_windows": op10_benchmark_windows,
+    "op11_wavelet_ids": op11_wavelet_ids,
 }
 
 ORACLES: dict[str, str] = {
