@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.common import table
 from tidewatch.llm.running import offsets
+from tidewatch.llm.token_counts import byte_letters
 from tidewatch.operators.components import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,10 +35,10 @@ SHARD_TOKENS = 1 << 24
 RANGE_BYTES = 48 << 20
 #: Bits from one entry of a rank directory to the next.
 BLOCK = 512
-#: Characters that are encoded at a time, if no piece is longer; bytes of text that are held together.
-PIECE = 1 << 18
-#: A blank between two characters that aren't white space: ASCII ones or Latin letters.
-BETWEEN = re.compile(r"(?<=[!-~\u00c0-\u024f]) (?=[!-~\u00c0-\u024f])")
+#: Letters that texts are cut after; all are letters to the pre-tokenizer.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+CUT = re.compile(rf"(?<=[{LETTERS}])(?=[\x00-\x40\x5b-\x60\x7b-\x7f])|(?<=[!-@\[-`{{-~])(?=[ \t\n])")
+ONE = re.compile(rf" ?[{LETTERS}]+\Z")
 #: Pieces, of so many characters at most, whose ids a task remembers at once.
 REMEMBERED, SHORT = 500_000, 40
 #: Places that are returned at a time.
@@ -58,9 +59,10 @@ class WaveletMatrix:
         if len(ids) and int(ids.max()) >> levels:
             raise ValueError(f"an id does not fit {levels} bits")
         zeros, planes, ranks = [], [], []
-        row = np.ascontiguousarray(ids, np.uint32)
+        kind = np.uint16 if levels <= 16 else np.uint32
+        row = np.ascontiguousarray(ids, kind)
         for level in range(levels - 1, -1, -1):
-            bit = (row >> np.uint32(level) & np.uint32(1)).astype(bool)
+            bit = row & kind(1 << level) != 0
             plane = np.packbits(bit, bitorder="little")
             plane = np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)])
             ones = np.bitwise_count(plane).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
@@ -163,47 +165,39 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of whole texts, by the tokenizers library.
+class Encoder(dict):
+    """Ids of whole texts, by the tokenizers library, for byte-level tokenizers that keep their usual pre-tokenizer.
 
-    The byte-level pre-tokenizer always starts a new part at a blank between two characters that are
-    not white space. Texts are cut at such blanks (of those that stand between ASCII characters or
-    Latin letters), so the ids of the pieces, joined, are those of the whole; the library encodes
-    each piece that isn't remembered, no more than a piece or PIECE characters at once.
+    That pre-tokenizer always starts a new part at ASCII white space after another character, and
+    where letters end. Texts are cut there, so the ids of the pieces, joined, are those of the whole;
+    each piece that isn't remembered is encoded by the library, a piece of letters alone directly by
+    its model. A text that holds one of the tokenizer's added tokens is encoded as it is.
     """
 
     def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        begin = chars = 0
-        for i, p in enumerate([*pieces, ""]):
-            if i > begin and (i == len(pieces) or chars + len(p) > PIECE):
-                out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces[begin:i], add_special_tokens=False)]
-                begin, chars = i, 0
-            chars += len(p)
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [BETWEEN.split(t) for t in texts]
-        firsts = self._encoded([c[0] for c in cut])
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [p for p in {p for c in cut for p in c[1:]} if p not in known]
-        known.update(zip(new, self._encoded([" " + p for p in new]), strict=True))
-        out = [np.frombuffer(b"".join([f, *map(known.__getitem__, c[1:])]), np.uint32) for f, c in zip(firsts, cut, strict=True)]
-        for p in new:
-            if len(p) > SHORT:
-                del known[p]
-        return out
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = {b: c for c, b in byte_letters().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        if ONE.match(piece):
+            found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        else:
+            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        ids = array("I", found).tobytes()
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(b"".join(map(self.__getitem__, CUT.split(text))), np.uint32)
 
 
 def vocabulary_size(path: str) -> int:
@@ -255,15 +249,13 @@ def write_shards(
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()
-            lengths = np.array([len(x.as_buffer() or b"") for x in batch.column(2)], np.int64)
-            # Rows whose texts are encoded and held together.
-            groups = np.cumsum(lengths) // PIECE
-            bounds = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                keys.append(batch.column(1).slice(a, b - a))
-                for found in encoder.encode(batch.column(2).slice(a, b - a).to_pylist()):
-                    ids.append(np.append(found, np.uint32(end)))
-                    held += len(ids[-1])
+            begin = 0
+            for i, text_ in enumerate(batch.column(2), 1):
+                ids.append(np.append(encoder.encode(text_.as_py()), np.uint32(end)))
+                held += len(ids[-1])
+                if held >= shard_tokens or i == batch.num_rows:
+                    keys.append(batch.column(1).slice(begin, i - begin))
+                    begin = i
                 if held >= shard_tokens:
                     yield closed()
                     keys, ids, piece, held = [], [], piece + 1, 0
@@ -331,12 +323,13 @@ def read_documents(files: DataFrame, with_ids: bool = False) -> DataFrame:
 
 def count_tokens(files: DataFrame, tokens: list[int]) -> DataFrame:
     """(token, n): occurrences in all shards, by rank; nothing is decoded."""
+    wanted = sorted(set(tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 matrix = _matrix(batch, i)
-                yield pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.int64()), "n": pa.array([matrix.rank(t) for t in tokens], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"token": pa.array(wanted, pa.int64()), "n": pa.array([matrix.rank(t) for t in wanted], pa.int64())})
 
     return files.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
