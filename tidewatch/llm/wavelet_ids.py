@@ -12,6 +12,7 @@ is kept of the ids. Spark's writer commits the files, so a lost or repeated task
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from tidewatch.operators.components import shared_folder
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
 #: A shard is closed when it holds this many ids; it holds whole documents.
-SHARD_TOKENS = 1 << 24
+SHARD_TOKENS = 1 << 22
 #: Bytes of text that a range has on average.
 RANGE_BYTES = 48 << 20
 #: Bits from one entry of a rank directory to the next.
@@ -39,8 +40,12 @@ BLOCK = 512
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 CUT = re.compile(rf"(?<=[{LETTERS}])(?=[\x00-\x40\x5b-\x60\x7b-\x7f])|(?<=[!-@\[-`{{-~])(?=[ \t\n])")
 ONE = re.compile(rf" ?[{LETTERS}]+\Z")
-#: Pieces, of so many characters at most, whose ids a task remembers at once.
-REMEMBERED, SHORT = 500_000, 40
+#: What may stand next to a blank at which a text is cut: no white space to any library.
+SAFE = "!-~\u00c0-\u024f"
+INNER = re.compile(rf"[{SAFE}](?:.*[{SAFE}])?\Z", re.S)
+LAST = re.compile(rf"[{SAFE}]\Z")
+#: Pieces, of so many characters at most, whose ids a task remembers.
+REMEMBERED, SHORT = 400_000, 40
 #: Places that are returned at a time.
 DECODED = 1 << 20
 
@@ -165,39 +170,83 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
-    """Ids of whole texts, by the tokenizers library, for byte-level tokenizers that keep their usual pre-tokenizer.
+class Unsafe(Exception):
+    """A blank at which a text can't be cut."""
 
-    That pre-tokenizer always starts a new part at ASCII white space after another character, and
-    where letters end. Texts are cut there, so the ids of the pieces, joined, are those of the whole;
-    each piece that isn't remembered is encoded by the library, a piece of letters alone directly by
-    its model. A text that holds one of the tokenizer's added tokens is encoded as it is.
-    """
+
+class _Blanks(dict):
+    """Ids of what stands between blanks, with the blank before it."""
+
+    def __init__(self, parts: _Parts) -> None:
+        self.parts = parts
+
+    def __missing__(self, piece: str) -> bytes:
+        if not INNER.match(piece):
+            raise Unsafe
+        ids = b"".join(map(self.parts.__getitem__, CUT.split(" " + piece)))
+        if len(piece) <= SHORT and len(self) < REMEMBERED:
+            self[piece] = ids
+        return ids
+
+
+class _Parts(dict):
+    """Ids of pieces that CUT leaves; those of letters alone come from the model, as they are one part."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = {b: c for c, b in byte_letters().items()}
+        self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
     def __missing__(self, piece: str) -> bytes:
         if ONE.match(piece):
             found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
         else:
             found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        ids = array("I", found).tobytes()
-        if len(piece) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
+        ids = array(self.kind, found).tobytes()
+        if len(piece) <= SHORT and len(self) < REMEMBERED:
             self[piece] = ids
         return ids
 
+
+class Encoder:
+    """Ids of whole texts, by the tokenizers library, for byte-level tokenizers that keep their usual pre-tokenizer.
+
+    That pre-tokenizer always starts a new part at a blank between two other characters, at ASCII
+    white space after another character, and where letters end. Texts are cut there, so the ids of
+    the pieces, joined, are those of the whole; the library encodes each piece that isn't
+    remembered. The first so many short pieces are, which holds the frequent ones. A text that holds
+    one of the tokenizer's added tokens is encoded as it is.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.parts = _Parts(path)
+        self.blanks = _Blanks(self.parts)
+        self.tokenizer = self.parts.tokenizer
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = np.dtype(np.uint16 if self.parts.kind == "H" else np.uint32)
+
     def encode(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(b"".join(map(self.__getitem__, CUT.split(text))), np.uint32)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        first, *rest = text.split(" ")
+        try:
+            if rest and not LAST.search(first):
+                raise Unsafe
+            found = [*map(self.parts.__getitem__, CUT.split(first)), *map(self.blanks.__getitem__, rest)]
+        except Unsafe:
+            found = map(self.parts.__getitem__, CUT.split(text))
+        return np.frombuffer(b"".join(found), self.kind)
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python process, which Spark reuses for later tasks: what one task remembers serves the next."""
+    kept = sys.__dict__.setdefault("_tidewatch_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def vocabulary_size(path: str) -> int:
@@ -236,7 +285,7 @@ def write_shards(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own = encoder(path)
         keys, ids, piece, held, part = [], [], 0, 0, 0
 
         def closed() -> pa.RecordBatch:
@@ -251,7 +300,7 @@ def write_shards(
             part = batch.column(0)[0].as_py()
             begin = 0
             for i, text_ in enumerate(batch.column(2), 1):
-                ids.append(np.append(encoder.encode(text_.as_py()), np.uint32(end)))
+                ids.append(np.append(own.encode(text_.as_py()), own.kind.type(end)))
                 held += len(ids[-1])
                 if held >= shard_tokens or i == batch.num_rows:
                     keys.append(batch.column(1).slice(begin, i - begin))
