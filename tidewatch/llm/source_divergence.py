@@ -29,7 +29,7 @@ SCALE = 1_000_000_000
 #: Bytes of text that are cut at a time, if no text is longer.
 CHUNK = 8 << 20
 #: Counts that a block of one language holds on average.
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 50_000
 #: What each byte of a term becomes; 0 ends a term.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
 
