@@ -1,16 +1,17 @@
 """Main text of web pages: parser events to lines, text-to-tag ratios, smoothing and threshold clustering.
 
 The standard library's parser is fed a page and its events fill lines: a line is the text between
-two block boundaries, with the number of tags met in it and the container it lies in. A line's ratio
-is its counted text over its tags. Link text isn't counted, nor is text in an element that by its
-name holds something other than the article (navigation, footer, form, advert, comments and so on).
-The ratios of all lines, in page order, are smoothed with a Gaussian and cut at a threshold.
-
-Lines over the threshold form the content clusters. They pick the region: from the page downwards,
-the container that holds nearly all of their text. Of the region, what has no ratio of its own goes:
-containers whose text isn't counted, lists of links in boxes, and boxes after the last line of
-content whose own ratio stays under the threshold, such as reader comments and teasers. Short lines
-of the region itself stay.
+two block boundaries, with the number of tags met in it and the box (section, division, list …) it
+lies in. A line's ratio is its counted text over its tags. Link text isn't counted, nor is text in
+an element that HTML itself sets apart (navigation, footer, form, aside and so on, or such a role).
+The ratios of all lines, in page order, are smoothed with a Gaussian, which does not reach over the
+edge of a box that bears a mark (a class, an id), and cut at a share of their mean.
+
+Runs of lines at or over the cut are the clusters of content. A box is content if a line of its own
+is; a box without one is closed into the content around it only if it bears no mark. Where HTML says which element is the article, clusters in it count more. The region is the
+smallest box that holds nearly all counted text of the clusters; of it come the lines of all content
+boxes, short ones too. What has no cluster of its own (adverts, notices, menus without a name,
+teasers, short comments) goes.
 """
 
 from __future__ import annotations
@@ -45,19 +46,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FLOW = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt td th option optgroup legend title br hr".split())
 #: Elements without an end tag of their own when another of the kind, or their parent's end, comes.
 LOOSE = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
-#: Whole names (a class or an id, in lower case without hyphens) of elements that hold something other than the article.
-NAMES = frozenset(
-    "nav navbar navigation menu sidebar sidenav footer pagefooter sitefooter masthead topbar breadcrumb breadcrumbs cookie cookies cookiebanner cookienotice "
-    "cookieconsent consent notice notices banner popup modal newsletter signup login search share sharing social related recommended pagination toolbar".split()
-)
-HEADER_NAMES = frozenset("header pageheader siteheader".split())
-ADVERTS = frozenset("ad ads advert adverts advertisement sponsored promo".split())
-COMMENTS = frozenset("comment comments commentlist commentsection commentsarea usercomments readercomments disqus replies".split())
+#: Whole names (a class or an id, in lower case without hyphens) that say reader comments: long ones have an article's ratios.
+COMMENTS = frozenset("comment comments commentlist commentsection commentsarea usercomments readercomments userfeedback disqus replies".split())
 _CUT = re.compile(r"<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
 _OPEN = re.compile(r"<[A-Za-z/!?]")
 SIGMA = 1.0
 #: Of the mean smoothed ratio; lines at or above it are content.
-THRESHOLD = 0.5
+THRESHOLD = 0.8
 #: Share of the content's text from which a container is the region rather than what it lies in.
 DOMINANT = 0.75
 #: How many times the text of an article or main element counts when the region is chosen.
@@ -68,13 +63,11 @@ PARAGRAPH = 80
 
 @dataclass
 class Box:
-    """A container: what it lies in, its tag, whether the parser or its names bar it, and what it is told to be."""
+    """A container: what it lies in, its tag, whether HTML bars it, whether it has no class or id, and whether it is an article."""
 
     parent: int
     tag: str = ""
     barred: bool = False
-    named: bool = False
-    comments: bool = False
     plain: bool = False
     article: bool = False
 
@@ -148,15 +141,12 @@ class _Lines(HTMLParser):
         hidden = "hidden" in attrs or value("aria-hidden") == "true" or "display:none" in value("style").replace(" ", "")
         barred = tag in ASIDE or (tag == "header" and not article) or (tag == "article" and article == 2) or value("role") in ROLES
         names = {x.replace("-", "").replace("_", "") for x in f"{value('class')} {value('id')}".split()}
-        comments = bool(names & COMMENTS)
-        named = comments or bool(names & ADVERTS)
-        if tag not in FLOW and tag not in ("html", "body", "main", "article"):
-            named = named or bool(names & NAMES) or (not article and bool(names & HEADER_NAMES))
+        barred = barred or hidden or (bool(names & COMMENTS) and tag not in ("html", "body", "main", "article"))
         if tag in ("html", "body") or (tag not in BLOCKS and not hidden):
             return None
-        if (tag in FLOW or tag in PARTS) and not (hidden or barred or named):
+        if (tag in FLOW or tag in PARTS) and not barred:
             return None
-        return Box(parent, tag, hidden or barred, named, comments, not names, tag in ("article", "main") and not barred and not hidden)
+        return Box(parent, tag, barred, not names, tag in ("article", "main") and not barred)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -189,6 +179,12 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(values, kernel, "full")[reach : reach + len(values)] / inside
 
 
+def smooth_runs(values: np.ndarray, key: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Smoothing within runs of lines of one key, so that an advert between long paragraphs doesn't take their ratios."""
+    edges = np.flatnonzero(np.diff(key)) + 1
+    return np.concatenate([smooth(x, sigma) for x in np.split(values, edges)])
+
+
 def parsed(html: str) -> _Lines:
     """The lines and containers of a page.
 
@@ -213,99 +209,94 @@ def _up(boxes: list[Box], own: np.ndarray) -> np.ndarray:
     return whole
 
 
-def _barred(boxes: list[Box], held: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Which containers' text isn't counted: barred and named ones, and all that they hold.
-
-    A name alone does not bar a wrapper: one that holds the page's only article, or, where no
-    article is told, four fifths of the text with a paragraph in it. Names of comments always bar.
-    """
-    n = len(boxes)
-    sure, at, article = np.zeros(n, bool), np.zeros(n, bool), np.array([b.article for b in boxes])
-    for i, b in enumerate(boxes):
-        up = b.parent >= 0
-        sure[i] = (up and sure[b.parent]) or b.barred or b.comments
-        at[i] = sure[i] or (up and at[b.parent]) or b.named
-    clear = bool((article & ~at).any())
-    article &= ~sure
-    holds = _up(boxes, article.astype(np.int64)) > 0
-    text = _up(boxes, np.where(sure, 0, own))
-    out = np.zeros(n, bool)
-    for i, b in enumerate(boxes):
-        wraps = b.named and not clear and (holds[i] or (not article.any() and 5 * text[i] >= 4 * text[0] and held[i] >= PARAGRAPH))
-        out[i] = (b.parent >= 0 and out[b.parent]) or b.barred or b.comments or (b.named and not wraps)
-    return out
+def _first_last(boxes: list[Box], box: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last of some lines in each container and all in it."""
+    first, last = np.full(len(boxes), len(box)), np.full(len(boxes), -1)
+    np.minimum.at(first, box[at], at), np.maximum.at(last, box[at], at)
+    for i in range(len(boxes) - 1, 0, -1):
+        up = boxes[i].parent
+        first[up], last[up] = min(first[up], first[i]), max(last[up], last[i])
+    return first, last
 
 
-def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
+def main_text(html: str | None, threshold: float = THRESHOLD, sigma: float = SIGMA) -> str:
     """The article of a page: its blocks in order, joined by one space; empty if there is none.
 
     Character references are decoded and white space inside a block becomes one space. A page that
-    is null, or whose lines are all links or barred, is empty. With a threshold of 0 all lines
-    are content, so all text of a page with any content comes back.
+    is null, or whose lines are all links or barred, is empty.
     """
     page = parsed(html or "")
     lines, boxes = page.lines, page.boxes
     if not lines:
         return ""
+    n = len(boxes)
     box = np.array([x[3] for x in lines])
     size, tags, linked = (np.array([f(x) for x in lines]) for f in (lambda x: len(x[0]), lambda x: max(x[1], 1), lambda x: x[2]))
-    unlinked = np.where(2 * linked >= size, 0, size - linked)
-    own = np.bincount(box, unlinked, len(boxes))
-    longest = np.zeros(len(boxes), np.int64)
-    np.maximum.at(longest, box, unlinked)
-    for i in range(len(boxes) - 1, 0, -1):
-        longest[boxes[i].parent] = max(longest[boxes[i].parent], longest[i])
-    counted = np.where(_barred(boxes, longest, own)[box], 0, unlinked)
-    ratio = counted / tags
-    smoothed = smooth(ratio)
-    cut = threshold * smoothed.mean()
-    if not smoothed.any():
-        return ""
-    over = smoothed >= cut
-
-    told = np.zeros(len(boxes), bool)
+    barred, told = np.zeros(n, bool), np.zeros(n, bool)
     for i, b in enumerate(boxes):
-        told[i] = b.article or (b.parent >= 0 and told[b.parent])
-    weight = _up(boxes, np.bincount(box, np.where(over, counted, 0) * np.where(told[box], TOLD, 1), len(boxes)))
-    region, best = 0, {}
-    for i in range(1, len(boxes)):
-        if weight[i] > weight[best.get(boxes[i].parent, i)] or boxes[i].parent not in best:
+        up = b.parent >= 0
+        barred[i] = b.barred or (up and barred[b.parent])
+        told[i] = not barred[i] and (b.article or (up and told[b.parent]))
+    links = 2 * linked >= size
+    counted = np.where(barred[box] | links, 0, size - linked)
+    if not counted.any():
+        return ""
+    marked = np.zeros(n, np.int64)
+    for i in range(1, n):
+        marked[i] = marked[boxes[i].parent] if boxes[i].plain and not barred[i] else i
+    smoothed = smooth_runs(counted / tags, marked[box], sigma)
+    over = (smoothed >= threshold * smoothed.mean()) & (counted > 0)
+
+    # The region: from the page downwards, the container that holds nearly all text of the clusters.
+    weight = _up(boxes, np.bincount(box, np.where(over, counted, 0) * np.where(told[box], TOLD, 1), n))
+    best: dict[int, int] = {}
+    for i in range(1, n):
+        if boxes[i].parent not in best or weight[i] > weight[best[boxes[i].parent]]:
             best[boxes[i].parent] = i
-    while threshold > 0 and not boxes[region].article and region in best:
+    # What a container's own lines and its boxes without a mark weigh: such boxes are parts of one text.
+    parts = np.bincount(box, np.where(over, counted, 0) * np.where(told[box], TOLD, 1), n)
+    for i in range(1, n):
+        if boxes[i].plain:
+            parts[boxes[i].parent] += weight[i]
+    holds = _up(boxes, np.bincount(box, told[box] & over, n)) > 0
+    region = 0
+    while not boxes[region].article and region in best:
         child = best[region]
-        share = 0.5 if boxes[child].article else DOMINANT
-        if weight[child] <= share * weight[region]:
+        least = 0.5 if holds[child] else DOMINANT
+        whole = holds[child] or parts[region] == (weight[child] if boxes[child].plain else 0)
+        if not weight[child] or weight[child] < least * weight[region] or not whole:
             break
         region = child
     if boxes[region].tag == "main" and region in best and boxes[best[region]].article and 2 * weight[best[region]] > weight[region]:
         region = best[region]
 
-    whole_text, whole_tags = (_up(boxes, np.bincount(box, v, len(boxes))) for v in (counted, tags))
-    whole_size, whole_linked = (_up(boxes, np.bincount(box, v, len(boxes))) for v in (size, linked))
-    high = whole_text >= cut * whole_tags
-    first, last = np.full(len(boxes), len(lines)), np.full(len(boxes), -1)
-    np.minimum.at(first, box, np.arange(len(lines))), np.maximum.at(last, box, np.arange(len(lines)))
-    for i in range(len(boxes) - 1, 0, -1):
-        first[boxes[i].parent], last[boxes[i].parent] = min(first[boxes[i].parent], first[i]), max(last[boxes[i].parent], last[i])
-    inside, strong = np.zeros(len(boxes), bool), np.zeros(len(boxes), bool)
-    inside[region] = strong[region] = True
-    for i in range(region + 1, len(boxes)):
-        inside[i] = inside[boxes[i].parent]
-        strong[i] = strong[boxes[i].parent] and high[i]
-    core = np.flatnonzero(over & (ratio >= cut) & strong[box])
-    begin, end = (core[0], core[-1]) if len(core) else (len(lines), -1)
-
-    stays = np.zeros(len(boxes), bool)
-    stays[region] = True
-    for i in range(region + 1, len(boxes)):
+    content = _up(boxes, np.bincount(box, over, n)) > 0
+    begin, end = _first_last(boxes, box, np.flatnonzero(over))
+    first, last = _first_last(boxes, box, np.arange(len(lines)))
+    some = _up(boxes, np.bincount(box, counted > 0, n)) > 0
+    prose = _up(boxes, np.bincount(box, np.where(counted > 0, size, 0), n)) * 2 > _up(boxes, np.bincount(box, size, n))
+    stays, inside = np.zeros(n, bool), np.zeros(n, bool)
+    stays[region] = inside[region] = True
+    for i in range(region + 1, n):
         b = boxes[i]
-        if not inside[i] or not stays[b.parent] or first[i] > last[i]:
+        inside[i] = inside[b.parent]
+        if not inside[i] or barred[i] or not stays[b.parent] or first[i] > last[i]:
             continue
-        loose = b.plain and region != 0
-        good = high[i] or loose or first[i] <= end and (last[i] >= begin or region != 0)
-        stays[i] = good and (whole_text[i] > 0 or cut <= 0) and (2 * whole_linked[i] < whole_size[i] or cut <= 0)
-    links = (2 * linked >= size) & (cut > 0) & (not told[region])
-    kept = stays[box] & ~(links & ((np.arange(len(lines)) < begin) | (np.arange(len(lines)) > end)))
+        # A gap: a box without a mark in a box of content, or one with a boxed source between two lines of content.
+        between = begin[b.parent] < first[i] and last[i] < end[b.parent]
+        loose = b.plain and (region != 0 or between) and some[i] and prose[i]
+        note = between and last[i] == first[i] and links[first[i]]
+        stays[i] = (content[i] and prose[i]) or loose or note
+    kept = stays[box]
+    if not told[region]:
+        # Menus at the ends of a region that HTML does not name: links before its first and after its last content.
+        core = np.flatnonzero(kept & over)
+        ends = (len(lines), -1) if not len(core) else (core[0], core[-1])
+        kept &= ~(links & ((np.arange(len(lines)) < ends[0]) | (np.arange(len(lines)) > ends[1])))
+        if region == 0:
+            # The page itself is no container of one text: its own lines stay only between, and next to, content.
+            loose_ = (box == 0) & ~over & ((np.arange(len(lines)) < ends[0] - 1) | (np.arange(len(lines)) > ends[1] + 1))
+            kept &= ~loose_
     return " ".join(lines[i][0] for i in np.flatnonzero(kept))
 
 
