@@ -33,7 +33,7 @@ END = 2
 #: A shard is closed when it holds this many ids; it holds whole documents.
 SHARD_TOKENS = 1 << 22
 #: Bytes of text that a range has on average.
-RANGE_BYTES = 48 << 20
+RANGE_BYTES = 32 << 20
 #: Bits from one entry of a rank directory to the next.
 BLOCK = 512
 #: Letters that texts are cut after; all are letters to the pre-tokenizer.
@@ -42,10 +42,10 @@ CUT = re.compile(rf"(?<=[{LETTERS}])(?=[\x00-\x40\x5b-\x60\x7b-\x7f])|(?<=[!-@\[
 ONE = re.compile(rf" ?[{LETTERS}]+\Z")
 #: What may stand next to a blank at which a text is cut: no white space to any library.
 SAFE = "!-~\u00c0-\u024f"
-INNER = re.compile(rf"[{SAFE}](?:.*[{SAFE}])?\Z", re.S)
+FIRST = re.compile(rf"[{SAFE}]")
 LAST = re.compile(rf"[{SAFE}]\Z")
 #: Pieces, of so many characters at most, whose ids a task remembers.
-REMEMBERED, SHORT = 400_000, 40
+REMEMBERED, SHORT = 300_000, 40
 #: Places that are returned at a time.
 DECODED = 1 << 20
 
@@ -174,41 +174,52 @@ class Unsafe(Exception):
     """A blank at which a text can't be cut."""
 
 
-class _Blanks(dict):
-    """Ids of what stands between blanks, with the blank before it."""
-
-    def __init__(self, parts: _Parts) -> None:
-        self.parts = parts
+class _Memo(dict):
+    """Ids of the first so many short pieces, among which the frequent ones are."""
 
-    def __missing__(self, piece: str) -> bytes:
-        if not INNER.match(piece):
-            raise Unsafe
-        ids = b"".join(map(self.parts.__getitem__, CUT.split(" " + piece)))
+    def kept(self, piece: str, ids: bytes) -> bytes:
         if len(piece) <= SHORT and len(self) < REMEMBERED:
             self[piece] = ids
         return ids
 
 
-class _Parts(dict):
+class _Parts(_Memo):
     """Ids of pieces that CUT leaves; those of letters alone come from the model, as they are one part."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = {b: c for c, b in byte_letters().items()}
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
 
+    def word(self, letters: str) -> bytes:
+        return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         if ONE.match(piece):
-            found = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        else:
-            found = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        ids = array(self.kind, found).tobytes()
-        if len(piece) <= SHORT and len(self) < REMEMBERED:
-            self[piece] = ids
-        return ids
+            return self.kept(piece, self.word(piece.encode().decode("latin-1").translate(self.letters)))
+        return self.kept(piece, array(self.kind, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes())
+
+
+class _Blanks(_Memo):
+    """Ids of what stands between blanks, with the blank before it."""
+
+    def __init__(self, parts: _Parts) -> None:
+        super().__init__()
+        self.parts, self.blank = parts, parts.letters[32]
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self.kept(piece, self.parts.word(self.blank + piece))
+        if not (FIRST.match(piece) and LAST.search(piece)):
+            raise Unsafe
+        first, *rest = CUT.split(" " + piece)
+        word = first[1:]
+        head = self[word] if word.isascii() and word.isalpha() else self.parts[first]
+        return self.kept(piece, b"".join([head, *map(self.parts.__getitem__, rest)]))
 
 
 class Encoder:
