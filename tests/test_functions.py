@@ -10,7 +10,7 @@ from tidewatch.functions import feed as A
 from tidewatch.functions import scoring as S
 from tidewatch.functions import text as T
 from tidewatch.functions import urls as U
-from tidewatch.lexicons import KOREAN
+from tidewatch.lexicons import KOREAN, REVIEWS
 
 
 def one(spark, value, column):
@@ -107,7 +107,7 @@ def test_uncertainty_and_benign(spark):
     df = spark.createDataFrame(rows, "m double, r double, p double, s double, c boolean")
     out = df.withColumns(S.uncertainty(F.col("m"), F.col("r"), F.col("p"), F.col("s"), F.col("c"))).collect()
     assert [(r.review_required, r.confidence) for r in out] == [(True, "low"), (True, "low"), (True, "low"), (False, "high"), (False, "high")]
-    assert out[0].review_reason == S.REVIEWS[1] and out[1].review_reason == S.REVIEWS[2] and out[4].review_reason is None and out[4].signal_agreement == 1.0
+    assert out[0].review_reason == REVIEWS[1] and out[1].review_reason == REVIEWS[2] and out[4].review_reason is None and out[4].signal_agreement == 1.0
     text = spark.createDataFrame([("카드 이용금액 정상 승인",), ("정상 승인 아래 링크",)], "t string")
     none = F.array().cast("array<string>")
     got = text.select(S.benign_adjusted(F.col("t"), F.lit(0.99), F.lit(0.0), F.lit(0.0), none, F.lit(False)).alias("s")).collect()
@@ -128,3 +128,24 @@ def test_feed_titles(spark):
     assert one(spark, title, A.category(F.col("x"))) == "피싱·스미싱" and one(spark, title, A.is_alert(F.col("x")))
     assert one(spark, title, A.keywords(F.col("x"))) == ["택배", "KISA", "스미싱", "피싱", "보이스피싱"] and one(spark, "x", A.keywords(F.col("x"))) == [KOREAN.title_default]
     assert "'택배" in one(spark, title, A.summary(F.lit("KISA"), F.col("x")))
+
+
+BASES = ["https://a.com/x/y/list.do?q=1", "https://a.com", "http://a.com/p/"]
+HREFS = ["view.do?n=1", "/view.do", "../z/v.do", "./k", "../../../u", "//b.org/q", "http://c.net/a/../b", "?p=2", "#top", "", "a/b/../c/./d", "mailto:x@y", "..", ".", "/a/../b/./c", "x/", "/", "javascript:"]
+
+
+def test_resolved_is_urljoin(spark):
+    from urllib.parse import urljoin
+
+    rows = spark.createDataFrame([(b, h) for b in BASES for h in HREFS], "b string, h string").select("b", "h", U.resolved(F.col("b"), F.col("h")).alias("r"))
+    assert all(r.r == urljoin(r.b, r.h) for r in rows.collect())
+    assert one(spark, "https://a.com/x#f", U.resolved(F.col("x"), F.lit(None))) == "https://a.com/x"
+    assert one(spark, "v.do", U.resolved(F.lit("https://a.com/x/y#f"), F.col("x"))) == "https://a.com/x/v.do"
+
+
+def test_normal_form_of_plain_and_other_texts(spark):
+    import unicodedata
+
+    texts = ["plain text", "ｆｕｌｌ ①", "é", "한글", "", None, "ﬁ"]
+    got = [r.y for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", T.nfkc(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert got == [unicodedata.normalize("NFKC", t or "") for t in texts]

@@ -1,9 +1,12 @@
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import promotion
 from tidewatch.sources import readers, sinks
+from tidewatch.sources.versions import Versions
 from tidewatch.streaming import streams
 
 
@@ -34,7 +37,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
     sinks.block_list(df, str(tmp_path / "b"), heading="h")
     assert [r.domain for r in readers.block_list(spark, str(tmp_path / "b")).orderBy("domain").collect()] == ["a.com", "b.com"]
-    assert sinks.feed(df, str(tmp_path / "feed")) and not sinks.feed(df.limit(0), str(tmp_path / "feed")) and spark.read.json(str(tmp_path / "feed")).count() == 3
+    assert sinks.feed(df, str(tmp_path / "feed")) and not sinks.feed(df.limit(0), str(tmp_path / "feed")) and Versions(spark, str(tmp_path / "feed"), "json").read().count() == 3
     sinks.run_result(spark, str(tmp_path / "runs"), "v1", "PROMOTE", f1=0.9)
     assert spark.read.parquet(str(tmp_path / "runs")).first().numbers["f1"] == 0.9
     a, b = sinks.content_fingerprint(df).first(), sinks.content_fingerprint(df.repartition(3)).first()
@@ -82,8 +85,79 @@ def test_feed_cycle(spark, tmp_path):
     for _ in range(2):
         q = streams.feed_cycle(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / "ck"), every=None)
         q.awaitTermination()
-        rows = spark.read.json(str(tmp_path / "cache")).collect()
+        rows = readers.feed_items(spark, str(tmp_path / "cache")).collect()
         assert [r.id for r in rows] == ["1"] and rows[0].category == "스미싱"
     spark.createDataFrame([("3", "경찰청", "피싱", "2024-01-05", "u3")], schema).write.mode("append").json(str(tmp_path / "in"))
     streams.feed_cycle(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / "ck"), every=None).awaitTermination()
-    assert sorted(r.id for r in spark.read.json(str(tmp_path / "cache")).collect()) == ["1", "3"]
+    assert sorted(r.id for r in readers.feed_items(spark, str(tmp_path / "cache")).collect()) == ["1", "3"]
+
+
+def test_versions(spark, tmp_path, monkeypatch):
+    """A failure before the commit, and a writer that lost a race, leave the current version as it was."""
+    store = Versions(spark, str(tmp_path / "t"))
+    assert store.read() is None and store.numbers() == [] and store.expire() == 0
+    ids = lambda: sorted(r.id for r in store.read("id long").collect())
+    assert store.publish(spark.range(3)) == 1
+    lost = store.prepare(spark.range(9))
+    assert ids() == [0, 1, 2]
+    with pytest.raises(Exception, match="(?i)divi"):
+        store.publish(spark.range(5).selectExpr("id div (id - 4) as id"))
+    assert ids() == [0, 1, 2] and store.numbers() == [1]
+    store.publish(store.read("id long").where("id > 0"))  # reads what it replaces
+    assert ids() == [1, 2]
+    monkeypatch.setattr(Versions, "numbers", lambda self: [1])  # a writer that has not seen version 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        store.commit(lost)
+    monkeypatch.undo()
+    assert ids() == [1, 2] and store.rollback() == 3 and ids() == [0, 1, 2]
+    store.publish(spark.range(1))
+    assert store.expire(keep=1) >= 2 and ids() == [0] and store.numbers() == [4]
+    with pytest.raises(ValueError):
+        store.read(number=1)
+    with pytest.raises(ValueError):
+        store.rollback()
+
+
+def test_feed_cycle_keeps_a_cache_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    schema = "id string, source string, title string, published_at string, url string"
+    run = lambda k: streams.feed_cycle(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / k), every=None).awaitTermination()
+    spark.createDataFrame([("1", "KISA", "스미싱 주의", "2024-01-02", "u1")], schema).write.json(str(tmp_path / "in"))
+    run("ck")
+    spark.createDataFrame([("2", "KISA", "피싱", "2024-01-03", "u2")], schema).write.mode("append").json(str(tmp_path / "in"))
+
+    def broken(self, *a, **k):
+        raise PermissionError("storage")
+
+    monkeypatch.setattr(Versions, "read", broken)
+    with pytest.raises(Exception, match="storage"):
+        run("ck")
+    monkeypatch.undo()
+    assert [r.id for r in readers.feed_items(spark, str(tmp_path / "cache")).collect()] == ["1"]
+    run("ck")
+    assert sorted(r.id for r in readers.feed_items(spark, str(tmp_path / "cache")).collect()) == ["1", "2"]
+
+
+def test_promotion_is_stored(spark, tmp_path, monkeypatch):
+    for v in ("a", "b"):
+        spark.range(2).write.parquet(str(tmp_path / v / "terms"))
+    models = promotion.ModelVersions(spark, str(tmp_path / "live"), ("terms",))
+    assert models.live() is None
+    models.promote(str(tmp_path / "a"))
+    with pytest.raises(ValueError):
+        models.promote(str(tmp_path / "missing"))
+
+    def crash(self, name):
+        raise RuntimeError("crash between write and commit")
+
+    monkeypatch.setattr(Versions, "commit", crash)
+    with pytest.raises(RuntimeError):
+        models.promote(str(tmp_path / "b"))
+    monkeypatch.undo()
+    again = promotion.ModelVersions(spark, str(tmp_path / "live"), ("terms",))
+    assert again.live() == str(tmp_path / "a")
+    again.promote(str(tmp_path / "b"))
+    assert models.live() == str(tmp_path / "b")
+    models.rollback()
+    assert again.live() == str(tmp_path / "a")
+    with pytest.raises(ValueError):
+        again.rollback()

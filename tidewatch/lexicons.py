@@ -65,11 +65,24 @@ OFFICIAL_NUMBERS = (
     "15996001", "15665701", "15771000", "126", "15771120", "114", "100",
 )
 
-#: Endings of bare domains that the model's view of a text takes for URLs.
-MODEL_URL_ENDINGS = (
-    "com", "net", "org", "kr", "co.kr", "go.kr", "or.kr", "io", "me", "im", "ly", "do", "gl", "xyz", "top", "cc", "vip",
-    "click", "buzz", "shop",
-)
+#: What the model's view of a text takes for a URL.
+MODEL_URL = (
+    r"(?Ui)(?:https?://[^\s<>\"']+|www\.[^\s<>\"']+|\b(?:[a-zA-Z0-9-]+\.)+"
+    r"(?:com|net|org|kr|co\.kr|go\.kr|or\.kr|io|me|im|ly|do|gl|xyz|top|cc|vip|click|buzz|shop)(?:/[^\s<>\"']*)?)"
+)
+
+#: What is masked in a text, what is taken out of it as a URL, what may trail a URL, and phone numbers. Texts are
+#: cut exactly where these match, so tokens, case keys and class tokens depend on every part of them.
+MASK_URL = (
+    r"(?U)(?:https?://|www\.)[^\s<>\"']+"
+    r"|(?<![@\w.])[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9\-]{1,63})+(?:/[^\s<>\"']*)?"
+)
+FIND_URL = (
+    r"(?Ui)(?:https?://|www\.)[^\s<>\"']+"
+    r"|(?<![A-Za-z0-9@])[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9\-]{1,63})+(?::\d{1,5})?(?:/[^\s<>\"']*)?"
+)
+URL_PARTICLES = "(?:에서|으로|로|은|는|이|가|을|를|와|과|의|에)$"
+PHONE = r"(?<!\d)(?:\+\d{1,3}[-\s]?\d{3,4}[-\s]?\d{4}|0\d{1,2}[-\s]?\d{3,4}[-\s]?\d{4}|1\d{3}[-\s]?\d{4}|010[-\s]?\d{3,4}[-\s]?\d{4})(?!\d)"
 
 STOPWORDS = (
     "URL", "발신", "수신", "국외발신", "국내발신", "Web발신", "웹발신", "발송",
@@ -154,6 +167,34 @@ MIXED = (("정지", "정zi"), ("클릭", "click"), ("로그인", "log-in"), ("
 SPLIT = (("정지", "정ㅈㅣ"), ("인증", "인ㅈㅡㅇ"), ("계좌", "계ㅈㅘ"), ("송금", "송ㄱㅡㅁ"), ("확인", "확ㅇㅣㄴ"), ("결제", "결ㅈㅔ"))
 DOTTED = ((".com", "[.]com"), (".net", "[.]net"), (".org", "[.]org"), (".xyz", "[.]xyz"), (".top", "[.]top"))
 
+#: What each source's summary says of a {title}, and the advice that follows; "" is any other {source}. Shown as they are, and compared as they are.
+SUMMARIES = {
+    "KISA": "KISA에서 '{title}' 관련 경보를 안내하고 있습니다. 의심스러운 문자·링크·전화는 즉시 반응하지 말고 공식 기관의 홈페이지나 대표번호를 통해 직접 확인하세요.",
+    "경찰청": "경찰청에서 '{title}' 관련 피싱·금융사기 정보를 안내하고 있습니다. 출처가 불분명한 연락이나 링크에는 응답하지 말고 경찰청 또는 해당 기관의 공식 채널을 통해 사실 여부를 확인하세요.",
+    "금융감독원": "금융감독원에서 '{title}' 관련 소비자경보를 안내하고 있습니다. 보이스피싱·금융사기가 의심되는 연락에는 응답하지 말고 금융회사나 공식 기관의 대표번호를 통해 직접 확인하세요.",
+    "": "{source}에서 '{title}' 관련 안전 정보를 안내하고 있습니다. 의심스러운 연락은 공식 기관의 채널을 통해 직접 확인하세요.",
+}
+
+#: Type and sentence of each piece of evidence of the URL rules; {} is its number. They are results, and compared as they are.
+URL_EVIDENCE = {
+    "ip": ("IP 주소 직접 사용", "도메인 대신 IP 주소가 사용되었습니다."),
+    "shortener": ("단축 URL", "실제 접속 주소를 숨길 수 있는 단축 URL입니다."),
+    "tld": ("의심 TLD", "피싱 데이터에서 반복적으로 나타난 TLD가 사용되었습니다."),
+    "punycode": ("Punycode", "유사 문자 도메인에 사용될 수 있는 Punycode가 포함되었습니다."),
+    "at": ("URL 주소 은폐", "@ 문자가 포함되어 실제 접속 도메인을 혼동시킬 수 있습니다."),
+    "digits_high": ("도메인 숫자 비율", "도메인 내 숫자 비율이 {}%로 높습니다."),
+    "digits": ("도메인 숫자 비율", "도메인 내 숫자 비율이 {}%입니다."),
+    "subdomains_many": ("과도한 서브도메인", "서브도메인이 {}개 사용되었습니다."),
+    "subdomains": ("다중 서브도메인", "서브도메인이 {}개 사용되었습니다."),
+}
+
+#: Why a person should look at a result, in the order in which reasons are tried.
+REVIEWS = (
+    "최종 위험도가 안전과 위험의 경계 구간에 있습니다.",
+    "문자 모델은 높은 위험을 예측했지만 이를 뒷받침하는 규칙·평판·반복 신고 근거가 부족합니다.",
+    "문자 모델과 규칙·평판·클러스터 판단이 서로 충돌합니다.",
+)
+
 # --- End of fixed values ------------------------------------------------------------------------
 
 

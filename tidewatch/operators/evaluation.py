@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.operators.components import stored
+
 #: The thresholds of a sweep, 0.05 to 0.95, and of the short one for rules.
 SWEEP = tuple(round(0.05 + 0.01 * i, 2) for i in range(91))
 EPS = 1e-12
@@ -68,7 +70,8 @@ def curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFram
     to the next, and no task holds all scores.
     """
     rows = df.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    ranged = rows.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
+    # Ranges come from a sample: written once, as made twice they could differ.
+    ranged = stored(rows.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()), "curve")
     within = W.partitionBy("part").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     run = ranged.withColumns({"tp": F.sum("p").over(within), "fp": F.sum("n").over(within)})
     sums = ranged.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))

@@ -7,9 +7,10 @@ their smallest report.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
@@ -19,15 +20,20 @@ from tidewatch.functions.urls import registered_domain
 from tidewatch.lexicons import KOREAN, Profile
 from tidewatch.operators.components import connected_components, stored
 from tidewatch.operators.relational import numbered
-from tidewatch.operators.similarity import sharing_pairs
+from tidewatch.operators.similarity import sharing_pairs, token_pairs
 
 SPREADING = 5
 
 
+def _regs(df: DataFrame) -> Column:
+    """Registered domains: the column regs where there is one, as of suffixes.with_registered, else by the short list of suffixes."""
+    return F.col("regs") if "regs" in df.columns else F.array_distinct(F.transform("domains", registered_domain))
+
+
 def prepared(reports: DataFrame, profile: Profile = KOREAN) -> DataFrame:
-    """Reports (id, sender, domains, tokens, created_at) with hosts, registered domains and token sets."""
-    regs = F.array_distinct(F.transform("domains", registered_domain))
-    rows = reports.select("id", "sender", F.array_distinct("domains").alias("hosts"), regs.alias("regs"), T.meaning_tokens(F.col("tokens"), profile).alias("words"), "created_at")
+    """Reports (id, sender, domains, tokens, created_at) with hosts, registered domains (those of a column regs, if given) and token sets."""
+    regs = _regs(reports).alias("regs")
+    rows = reports.select("id", "sender", F.array_distinct("domains").alias("hosts"), regs, T.meaning_tokens(F.col("tokens"), profile).alias("words"), "created_at")
     return rows.withColumn("strong", F.array_intersect("words", strings(profile.strong_tokens)))
 
 
@@ -82,7 +88,8 @@ def edges(rows: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
     ents = ents.join(found.select(F.col("id").alias("n")), "n", "left_semi")
     anchors = ents.groupBy("id").agg(F.min(F.struct("o", "n")).alias("a")).select("id", F.col("a.n").alias("anchor"))
     stars = ents.join(anchors, "id").where("n <> anchor").select(F.least("anchor", "n").alias("source"), F.greatest("anchor", "n").alias("target"))
-    by_reg = rows.select(F.explode("hosts").alias("h")).distinct().withColumn("r", registered_domain(F.col("h")))
+    # A host's domain is the one of its report that ends it, so domains by other suffix rules hold here too.
+    by_reg = rows.select(F.explode("hosts").alias("h"), "regs").select("h", F.explode("regs").alias("r")).where("lower(h) = r OR endswith(lower(h), concat('.', r))").distinct()
     low = by_reg.groupBy("r").agg(F.min("h").alias("m"))
     orgs = by_reg.join(low, "r").where("h <> m").select(F.concat(F.lit("url:"), "m").alias("a"), F.concat(F.lit("url:"), "h").alias("b"))
     return stars.union(orgs.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
@@ -98,20 +105,41 @@ def cluster_table(rows: DataFrame, members: DataFrame, found: DataFrame) -> Data
     return out.withColumn("risk", cluster_risk(F.col("report_count"), F.col("domain_count")))
 
 
-def cluster_sets(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """One row per cluster: its reports, and its distinct registered domains, senders and strong tokens, sorted."""
+def cluster_values(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, kind, value): each cluster's distinct registered domains, senders and strong tokens, and its reports' ids, a row each."""
     each = rows.join(members.select("id", "cluster"), "id")
-    kinds = F.array(
-        F.struct(F.lit("domains").alias("kind"), F.col("regs").alias("values")), F.struct(F.lit("senders").alias("kind"), F.array_compact(F.array("sender")).alias("values")),
-        F.struct(F.lit("strong").alias("kind"), F.col("strong").alias("values")),
-    )
-    values = each.select("cluster", F.explode(kinds).alias("k")).select("cluster", "k.kind", F.explode("k.values").alias("value")).distinct()
+    some = lambda kind, values: F.struct(F.lit(kind).alias("kind"), values.alias("values"))
+    kinds = F.array(some("domains", F.col("regs")), some("senders", F.array_compact(F.array("sender"))), some("strong", F.col("strong")), some("reports", F.array(F.col("id").cast("string"))))
+    return each.select("cluster", F.explode(kinds).alias("k")).select("cluster", "k.kind", F.explode("k.values").alias("value")).distinct()
+
+
+def cluster_sets(rows: DataFrame, members: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """One row per cluster: how many reports, and its distinct registered domains, senders and strong tokens, sorted.
+
+    only, a table with a column cluster, names the clusters to show. Reports are counted and not
+    listed; cluster_values has them, and all else, as rows.
+    """
+    if only is not None:
+        members = members.join(only.select("cluster").distinct(), "cluster", "left_semi")
+    values = cluster_values(rows, members).where("kind <> 'reports'")
     sets = values.groupBy("cluster").pivot("kind", ["domains", "senders", "strong"]).agg(F.sort_array(F.collect_list("value")))
-    out = each.groupBy("cluster").agg(F.sort_array(F.collect_list("id")).alias("reports")).join(sets, "cluster", "left")
+    out = members.groupBy("cluster").agg(F.count("*").alias("reports")).join(sets, "cluster", "left")
     none = F.array().cast("array<string>")
     return out.select("cluster", "reports", *[F.coalesce(c, none).alias(c) for c in ("domains", "senders", "strong")])
 
 
+def _alike(seen: DataFrame, keys: Column, each: DataFrame, column: str, made: Callable[[Column], Column]) -> DataFrame:
+    """(_i, cluster, n): the reports of a cluster that share a key with an input that has this cluster.
+
+    Reports of a cluster with the same set are counted first, so an input meets distinct sets and
+    never the reports. seen has _i and cluster; keys are its, made makes those of a report's set.
+    """
+    sets = each.groupBy("cluster", F.array_sort(column).alias("s")).agg(F.count("*").alias("n")).where(F.size("s") > 0)
+    theirs = sets.select("cluster", "s", "n", F.explode(made(F.col("s"))).alias("k"))
+    met = seen.select("_i", "cluster", F.explode(keys).alias("k")).join(theirs, ["cluster", "k"])
+    return met.select("_i", "cluster", "s", "n").distinct().groupBy("_i", "cluster").agg(F.sum("n").alias("n"))
+
+
 def match(inputs: DataFrame, rows: DataFrame, members: DataFrame, profile: Profile = KOREAN, key: str = "id") -> DataFrame:
     """(key, cluster, match_type, shared, similar) for inputs that match a cluster.
 
@@ -120,7 +148,7 @@ def match(inputs: DataFrame, rows: DataFrame, members: DataFrame, profile: Profi
     """
     each = rows.join(members.select("id", "cluster"), "id")
     seen = inputs.select(
-        F.col(key).alias("_i"), "sender", F.array_distinct(F.transform("domains", registered_domain)).alias("regs"), T.strong_tokens(F.col("tokens"), profile).alias("strong")
+        F.col(key).alias("_i"), "sender", _regs(inputs).alias("regs"), T.strong_tokens(F.col("tokens"), profile).alias("strong")
     )
     best = lambda df: df.groupBy("_i").agg(F.max(F.struct("n", (-F.col("cluster")).alias("c"))).alias("m"))
 
@@ -132,8 +160,8 @@ def match(inputs: DataFrame, rows: DataFrame, members: DataFrame, profile: Profi
     owners = each.where("sender IS NOT NULL").groupBy("sender").agg(F.min("cluster").alias("cluster"))
     by_sender = seen.where("sender IS NOT NULL").join(owners, "sender").select("_i", F.lit(1).alias("p"), "cluster", F.lit("sender").alias("match_type"), F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("similar"))
     top = best(overlap("strong")).where("m.n >= 2").select("_i", (-F.col("m.c")).alias("cluster"), F.col("m.n").alias("shared"))
-    said = top.join(seen.select("_i", F.explode("strong").alias("k")), "_i").join(each.select("cluster", "id", F.explode("strong").alias("k")), ["cluster", "k"])
-    alike = said.groupBy("_i", "cluster", "shared", "id").agg(F.count("*").alias("n")).where("n >= 2").groupBy("_i", "cluster", "shared").agg(F.count("*").alias("similar"))
+    spoken = top.join(seen.select("_i", "strong"), "_i")
+    alike = top.join(_alike(spoken, token_pairs(F.col("strong")), each, "strong", token_pairs).withColumnRenamed("n", "similar"), ["_i", "cluster"])
     by_phrase = alike.where("similar >= 2").select("_i", F.lit(2).alias("p"), "cluster", F.lit("strong_phrase").alias("match_type"), "shared", "similar")
     every = by_domain.union(by_sender).union(by_phrase)
     first = every.groupBy("_i").agg(F.min(F.struct("p", "cluster", "match_type", "shared", "similar")).alias("m"))
@@ -141,16 +169,27 @@ def match(inputs: DataFrame, rows: DataFrame, members: DataFrame, profile: Profi
 
 
 def campaigns(inputs: DataFrame, rows: DataFrame, members: DataFrame, as_of: str, profile: Profile = KOREAN, key: str = "id") -> DataFrame:
-    """The matched cluster's reports for each input: how many, how alike, since when and, in 24 hours before as_of, how many."""
+    """The matched cluster's reports for each input: how many, how alike, since when and, in 24 hours before as_of, how many.
+
+    All counts come from sums over clusters and over a cluster's distinct sets of domains, senders
+    and tokens, so the work follows the inputs and those sets, not inputs times reports.
+    """
     matched = match(inputs, rows, members, profile, key)
-    seen = inputs.select(F.col(key), F.col("sender").alias("_s"), F.array_distinct(F.transform("domains", registered_domain)).alias("_r"), T.strong_tokens(F.col("tokens"), profile).alias("_t"))
-    each = matched.join(seen, key).join(rows.join(members.select("id", "cluster"), "id").withColumnRenamed("id", "_report"), "cluster")
+    seen = matched.select(F.col(key).alias("_i"), "cluster").join(
+        inputs.select(F.col(key).alias("_i"), F.col("sender").alias("_s"), _regs(inputs).alias("_r"), T.strong_tokens(F.col("tokens"), profile).alias("_t")), "_i"
+    )
+    each = rows.join(members.select("id", "cluster"), "id")
     now = F.lit(as_of).cast("timestamp")
-    out = each.groupBy(key, "cluster", "match_type").agg(
-        F.count("*").alias("similar_case_count"), F.count_if(F.arrays_overlap("_r", "regs")).alias("shared_domain_count"), F.count_if(F.col("_s") == F.col("sender")).alias("shared_sender_count"),
-        F.count_if(F.size(F.array_intersect("_t", "strong")) >= 2).alias("similar_phrase_count"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"),
-        F.count_if(F.col("created_at") >= now - F.expr("INTERVAL 24 HOURS")).alias("reports_last_24h"),
-    )
+    whole = each.groupBy("cluster").agg(
+        F.count("*").alias("similar_case_count"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.count_if(F.col("created_at") >= now - F.expr("INTERVAL 24 HOURS")).alias("reports_last_24h")
+    )
+    senders = each.where("sender IS NOT NULL").groupBy("cluster", F.col("sender").alias("_s")).agg(F.count("*").alias("shared_sender_count"))
+    domains = _alike(seen, F.col("_r"), each, "regs", lambda s: s).withColumnRenamed("n", "shared_domain_count")
+    phrases = _alike(seen, token_pairs(F.col("_t")), each, "strong", token_pairs).withColumnRenamed("n", "similar_phrase_count")
+    out = matched.select(F.col(key).alias("_i"), "cluster", "match_type").join(whole, "cluster").join(seen.select("_i", "_s"), "_i").join(senders, ["cluster", "_s"], "left")
+    out = out.join(domains, ["_i", "cluster"], "left").join(phrases, ["_i", "cluster"], "left")
+    none = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("shared_domain_count", "shared_sender_count", "similar_phrase_count")]
+    out = out.select(F.col("_i").alias(key), "cluster", "match_type", "similar_case_count", *none, "first_seen", "last_seen", "reports_last_24h")
     return out.withColumn("status", campaign_status(F.col("reports_last_24h")))
 
 

@@ -100,7 +100,8 @@ def clean_dataset(raw: DataFrame, content: str = "content", class_: str = "class
     """
     rows = raw.withColumn("label", F.col(class_))
     rows = R.labelled(rows, content, "label", classes or {1: 0, 2: 1, 3: 0})
-    rows = R.without_conflicts(rows, content, "label").dropDuplicates([content])
+    rows = R.without_conflicts(rows, content, "label")
+    rows = R.first_of(rows, [content], [c for c in rows.columns if c != content])
     rows = T.for_model(R.numbered(rows, [content]), content, "text", profile).where("text <> ''")
     rows = T.with_flags(rows)
     rows = rows.withColumn("structured_family", T.family(F.col(content), F.col("label"), profile)).withColumn("template_text", T.template(F.col("text")))

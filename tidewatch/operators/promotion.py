@@ -1,5 +1,7 @@
 """Model versions as a table of events: promotion, rollback and what a version needs to be promoted.
 
+Events are pure tables here; ``ModelVersions`` keeps them in a store whose versions replace each other by one rename.
+
 A version's files stay where they were written, so the live version is the last event's, promotion
 keeps the one before it as its backup, and a rollback is one more event.
 """
@@ -9,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.versions import Versions
+
 EVENTS = "n long, version string, previous string, action string"
 
 
@@ -49,3 +53,27 @@ def check_model(spark: SparkSession, path: str, tables: tuple[str, ...]) -> None
             raise ValueError(f"{path} has no table {name}") from e
         if empty:
             raise ValueError(f"table {name} of {path} is empty")
+
+
+class ModelVersions:
+    """The live model of a folder: what was promoted or rolled back is there after a crash, or was not done at all."""
+
+    def __init__(self, spark: SparkSession, path: str, tables: tuple[str, ...] = ()) -> None:
+        self.spark, self.tables = spark, tables
+        self.store = Versions(spark, path)
+
+    def events(self) -> DataFrame:
+        found = self.store.read(EVENTS)
+        return no_versions(self.spark) if found is None else found
+
+    def live(self) -> str | None:
+        last = live(self.events()).first()
+        return last.version if last else None
+
+    def promote(self, version: str) -> None:
+        """Make a stored model, named by its folder, the live one, if all its tables are there."""
+        check_model(self.spark, version, self.tables)
+        self.store.publish(promote(self.events(), version).coalesce(1))
+
+    def rollback(self) -> None:
+        self.store.publish(rollback(self.events()).coalesce(1))

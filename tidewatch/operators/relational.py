@@ -143,11 +143,40 @@ def tld_statistics(df: DataFrame, tld: str, label: str, least: int = 20, rate: f
     return out.withColumn("candidate", (F.col("phishing") >= least) & (F.col("rate") >= rate))
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """(group, q0, q1 …): exact quantiles of a column in each group, interpolated between neighbours; nulls don't count.
+
+    Equal values are counted first. The counted values are ranged by group and value, so a group of
+    any size is spread over as many ranges as it needs; counts of earlier ranges, a row for each
+    group and range, give every value its rank, and only the values at the wanted ranks go on.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    # Ranges come from a sample: written once, as made twice they could differ.
+    ranged = stored(counted.repartitionByRange(*group, "_v").withColumn("_p", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("_p", *group).agg(F.sum("_n").alias("_c"))
+    earlier = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumns({"_s": F.coalesce(F.sum("_c").over(earlier), F.lit(0)), "_all": F.sum("_c").over(W.partitionBy(*group))})
+    within = W.partitionBy("_p", *group).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    local = ranged.withColumn("_b", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    same = [local[c].eqNullSafe(parts[c]) for c in ("_p", *group)]
+    rows = local.join(parts, reduce(lambda x, y: x & y, same)).select(*[local[c] for c in group], "_v", (F.col("_s") + F.col("_b")).alias("_first"), "_n", "_all")
+    place = [(F.col("_all") - 1) * F.lit(q) for q in at]
+    holds = lambda rank: (F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n"))
+    ends = [(F.floor(x), F.ceil(x), x - F.floor(x)) for x in place]
+    hit = reduce(lambda x, y: x | y, [holds(r) for low, high, _ in ends for r in (low, high)])
+    found = rows.where(hit).groupBy(*group)
+    picked = [F.max(F.when(holds(r), F.col("_v"))).alias(f"_{name}{i}") for i, (low, high, _) in enumerate(ends) for name, r in (("l", low), ("h", high))]
+    shares = [F.max(x).alias(f"_w{i}") for i, (_, _, x) in enumerate(ends)]
+    out = found.agg(*picked, *shares)
+    return out.select(*group, *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_w{i}")).alias(f"q{i}") for i in range(len(at))])
+
+
 def feature_quantiles(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Count, mean, median, p75, p90, p95 and maximum of each feature by class, all in one pass."""
+    """Count, mean, median, p75, p90, p95 and maximum of each feature by class."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]))
     rows = df.select(F.col(label).alias("class"), pairs.alias("p")).select("class", "p.feature", "p.value")
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9), F.lit(0.95)))
-    out = rows.groupBy("feature", "class").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), q.alias("q"), F.max("value").alias("max"))
-    named = [F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median", "p75", "p90", "p95"))]
+    sums = rows.groupBy("feature", "class").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    q = quantiles(rows, ["feature", "class"], "value", (0.5, 0.75, 0.9, 0.95)).withColumnsRenamed({"feature": "_f", "class": "_c"})
+    out = sums.join(q, sums["feature"].eqNullSafe(q["_f"]) & sums["class"].eqNullSafe(q["_c"]), "left")
+    named = [F.round(f"q{i}", 6).alias(n) for i, n in enumerate(("median", "p75", "p90", "p95"))]
     return out.select("feature", "class", "n", F.round("mean", 6).alias("mean"), *named, F.round("max", 6).alias("max"))

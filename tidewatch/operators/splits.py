@@ -6,36 +6,73 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.relational import overlaps
+from tidewatch.operators.components import stored
+from tidewatch.operators.relational import first_of, numbered, overlaps
 
 SHARES = (("train", 0.80), ("validation", 0.10), ("test", 0.10))
 DOMAIN_SHARES = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
-#: Groups of one label that are dealt together; more are dealt in independent parts of about so many.
-DEALT = 100_000
+#: Shares are taken as whole millionths, so that sums of lacking rows are exact.
+UNIT = 1_000_000
+#: Runs of groups of one size, counted, up to which their plans are broadcast.
+FEW = 500_000
 
 
-def assigned(groups: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES, seed: int = 42, dealt: int = DEALT) -> DataFrame:
-    """(label, group, split) for groups (label, group, rows): largest first, each to the split that lacks most rows.
+def run_plan(sizes: list[tuple[int, int]], shares: tuple[tuple[str, float], ...]) -> list[list[tuple[int, list[int]]]]:
+    """How each run of equally large groups is dealt: phases (first rank, splits in turn), for runs (size, groups) from the largest size.
 
-    Equal sizes go by a hash of the group. Splits lacking equally much are taken in their order. With
-    very many groups of a label, parts of them are dealt independently, each near the shares, so no
-    task holds them all.
+    A group goes to the split that lacks most rows, the first of equals, which then lacks its size
+    less. Within a run all steps are alike, so the splits within a step of the one that lacks most
+    take turns, for as many whole rounds as no other split comes before one of them; a run has no
+    more phases than there are splits.
     """
-    total = groups.groupBy("label").agg(F.ceil(F.count("*") / dealt).alias("_parts"))
-    ordered = groups.join(total, "label").withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("group").cast("string")))).withColumn("_part", F.pmod(F.xxhash64("_h"), F.greatest("_parts", F.lit(1))))
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rows", "_h", "group"], ascending=[False, True, True])
-        lacking = {name: share * rows["rows"].sum() for name, share in shares}
-        chosen = []
-        for n in rows["rows"]:
-            split = max(lacking, key=lacking.get)
-            chosen.append(split)
-            lacking[split] -= n
-        return rows.assign(split=chosen)[["label", "group", "split"]]
-
-    schema = f"label {groups.schema['label'].dataType.simpleString()}, group {groups.schema['group'].dataType.simpleString()}, split string"
-    return ordered.groupBy("label", "_part").applyInPandas(deal, schema)
+    lacking = [round(share * UNIT) * sum(size * n for size, n in sizes) for _, share in shares]
+    plans = []
+    for size, n in sizes:
+        step, phases, done = size * UNIT, [], 0
+        while done < n:
+            order = sorted(range(len(lacking)), key=lambda k: (-lacking[k], k))
+            low = (lacking[order[0]] - step, -order[0])
+            turn = [k for k in order if (lacking[k], -k) > low]
+            rounds = n
+            if len(turn) < len(order):
+                other = order[len(turn)]
+                rounds = max(1, min((lacking[k] - lacking[other] - (k > other)) // step + 1 for k in turn))
+            rounds, rest = (rounds, 0) if rounds * len(turn) <= n - done else divmod(n - done, len(turn))
+            phases.append((done, turn))
+            for i, k in enumerate(turn):
+                lacking[k] -= step * (rounds + (i < rest))
+            done += rounds * len(turn) + rest
+        plans.append(phases)
+    return plans
+
+
+def assigned(groups: DataFrame, shares: tuple[tuple[str, float], ...] = SHARES, seed: int = 42) -> DataFrame:
+    """(label, group, rows, split) for groups (label, group, rows): largest first, each to the split that lacks most rows.
+
+    Equal sizes go by a hash of the group; splits lacking equally much are taken in their order. The
+    deal is one for all groups of a label and is not made one by one: groups of one size are a run,
+    a run's plan follows from its size and length alone, and a group takes the split that the plan
+    has for its rank within the run. Sizes of groups are distinct numbers that sum to no more than
+    the rows, so the plans of a label are at most the square root of twice its rows.
+    """
+    hashed = groups.where(F.col("rows") > 0).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("group").cast("string")))).withColumn("_o", -F.col("rows"))
+    ranked = stored(numbered(hashed, ["label", "_o", "_h", "group"], "place"), "groups")
+    runs = ranked.groupBy("label", "rows").agg(F.count("*").alias("n"), F.min("place").alias("_first"))
+
+    def plan(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values("rows", ascending=False)
+        made = run_plan([(int(r), int(n)) for r, n in zip(found["rows"], found["n"], strict=True)], shares)
+        return found.assign(phases=[[{"first": first, "turn": [shares[k][0] for k in turn]} for first, turn in p] for p in made])
+
+    kind = groups.schema["label"].dataType.simpleString()
+    plans = runs.groupBy("label").applyInPandas(plan, f"label {kind}, rows long, n long, _first long, phases array<struct<first:long,turn:array<string>>>")
+    plans = stored(plans.select(F.col("label").alias("_l"), F.col("rows").alias("_s"), "_first", "phases"), "plans")
+    plans = F.broadcast(plans) if plans.count() <= FEW else plans
+    rank = F.col("place") - F.col("_first")
+    phase = F.element_at(F.filter("phases", lambda p: p["first"] <= rank), -1)
+    split = F.get(phase["turn"], ((rank - phase["first"]) % F.size(phase["turn"])).cast("int"))
+    dealt = ranked.join(plans, ranked["label"].eqNullSafe(plans["_l"]) & (ranked["rows"] == plans["_s"]))
+    return dealt.select("label", "group", "rows", split.alias("split"))
 
 
 def split_by_group(
@@ -46,7 +83,9 @@ def split_by_group(
     groups = keyed.groupBy("label", "group").agg(F.count("*").alias("rows"))
     if fixed is not None:
         groups = groups.join(fixed.select("group"), "group", "left_anti").select("label", "group", "rows")
-    dealt = assigned(groups, shares, seed).select("group", "split").dropDuplicates(["group"])
+    # A group under two labels is dealt under each and takes the deal of its larger part, so that it stays whole.
+    dealt = assigned(groups, shares, seed).withColumn("_o", -F.col("rows"))
+    dealt = first_of(dealt, ["group"], ["_o", "label"]).select("group", "split")
     if fixed is not None:
         dealt = dealt.unionByName(fixed.select("group", "split"))
     named = dealt.withColumnRenamed("group", "_g")

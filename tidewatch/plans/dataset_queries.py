@@ -164,7 +164,7 @@ def cluster_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.concat(F.lit("n"), (F.col("c_nationkey") % 5).cast("string"), F.lit(".com"))).alias("domains"), none.alias("tokens"), F.lit("user").alias("source"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
     known = G.prepared(rows, ENGLISH)
     out = G.cluster_sets(known, G.clusters(known))
-    return out.select(F.col("cluster").cast("long").alias("cluster"), F.size("reports").cast("long").alias("reports"), F.array_join("domains", ",").alias("domains"), F.array_join("senders", ",").alias("senders"))
+    return out.select(F.col("cluster").cast("long").alias("cluster"), "reports", F.array_join("domains", ",").alias("domains"), F.array_join("senders", ",").alias("senders"))
 
 
 def language_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

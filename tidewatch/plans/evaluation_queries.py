@@ -129,9 +129,9 @@ def _rewritten(name: str, pairs):
 
 
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of documents split by text, and the texts found in more than one split, of which there are none."""
+    """Rows of documents split by text, how many went to each split, and the texts found in more than one split, of which there are none."""
     rows = Split.split_by_group(_labelled(spark, sf_dir), "content")
-    return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("split").isNull()).alias("unassigned")).join(R.overlaps(rows, ["content"]).agg(F.count("*").alias("leaks")))
+    return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("split").isNull()).alias("unassigned"), *[F.count_if(F.col("split") == n).alias(n) for n, _ in Split.SHARES]).join(R.overlaps(rows, ["content"]).agg(F.count("*").alias("leaks")))  # one row each
 
 
 def domain_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,5 +251,12 @@ ORACLES = {
       SELECT url, r.domain, split FROM r JOIN d ON r.domain = d.domain""",
     "balanced_urls": f"""WITH {URLS}, {HOSTS}, r AS (SELECT url, h AS domain, {_IP} AS ip FROM h), p AS (SELECT url, domain, 1 AS label FROM r WHERE ip ORDER BY md5('42:' || url), url LIMIT 100),
       n AS (SELECT url, domain, 0 AS label FROM r WHERE NOT ip AND domain NOT IN (SELECT domain FROM r WHERE ip) ORDER BY length(url), domain, url LIMIT 100) SELECT * FROM p UNION ALL SELECT * FROM n""",
-    "split_leakage": "SELECT count(*) AS rows, 0::BIGINT AS unassigned, 0::BIGINT AS leaks FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
+    "split_leakage": """WITH RECURSIVE r AS (SELECT md5(text) AS content FROM documents d JOIN labels l ON d.doc_id = l.doc_id), g AS (SELECT content, count(*) AS n FROM r GROUP BY content),
+      o AS (SELECT content, n, row_number() OVER (ORDER BY n DESC, md5('42:' || content), content) AS i, CAST(sum(n) OVER () AS DOUBLE) AS t FROM g),
+      d AS (SELECT 0::BIGINT AS i, ''::VARCHAR AS content, ''::VARCHAR AS split, 0.8 * max(t) AS a, 0.1 * max(t) AS b, 0.1 * max(t) AS c FROM o
+        UNION ALL SELECT o.i, o.content, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'validation' ELSE 'test' END, CASE WHEN a >= b AND a >= c THEN a - n ELSE a END,
+          CASE WHEN NOT (a >= b AND a >= c) AND b >= c THEN b - n ELSE b END, CASE WHEN NOT (a >= b AND a >= c) AND b < c THEN c - n ELSE c END FROM d JOIN o ON o.i = d.i + 1),
+      s AS (SELECT r.content, d.split FROM r LEFT JOIN d ON r.content = d.content)
+      SELECT count(*) AS rows, count(*) FILTER (split IS NULL) AS unassigned, (SELECT count(*) FROM (SELECT content FROM s GROUP BY content HAVING count(DISTINCT split) > 1)) AS leaks,
+        count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation, count(*) FILTER (split = 'test') AS test FROM s""",
 }

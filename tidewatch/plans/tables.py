@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.urls import host_of
+from tidewatch.lexicons import ENGLISH
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +57,22 @@ def day_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words that link turns of conversations; none is cut and none is left out.
+CHAT = replace(ENGLISH, particles=(), stopwords=(), strong_tokens=("sch", "thre", "zu", "ein", "para", "con", "avec", "dans", "nicht", "pas"))
+
+
+def turn_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as reports: users' turns name their sender, first turns a host, and all have their words as tokens."""
+    c = table(spark, sf_dir, "conversations")
+    host = F.concat(F.lit("h"), (F.col("conv_id") % 3).cast("string"), F.lit(".s"), F.floor(F.col("conv_id") / 12).cast("string"), F.lit(".com"))
+    none = F.array().cast("array<string>")
+    return c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("role") == "user", F.concat(F.lit("n"), F.col("conv_id").cast("string"))).alias("sender"),
+        F.when(F.col("turn") == 0, F.array(host)).otherwise(none).alias("domains"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"),
+        F.lit("user").alias("source"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (F.col("conv_id") * 37 % 480).cast("int"), F.col("turn").cast("int"))).alias("created_at"),
+    )
+
+
 def distinct_share(text: Column) -> Column:
     """Distinct words over words, 0 without words, to four places."""
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import feed
 from tidewatch.operators.relational import labelled
+from tidewatch.sources.versions import Versions
 
 REPORT = "id long, text string, sender string, urls array<string>, domains array<string>, tokens array<string>, source string, case_key string, status string, created_at timestamp"
 FEED = "id string, source string, title string, published_at string, category string, summary string, keywords array<string>, url string"
@@ -64,7 +65,12 @@ def block_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_items(spark: SparkSession, path: str) -> DataFrame:
-    """Cached alerts, one to a line, from a list, or from the items of an object; a file that is no JSON gives none."""
+    """Cached alerts: the current version of a feed, or a file with one to a line, a list, or an object with items.
+
+    A file that is no JSON gives none.
+    """
+    current = Versions(spark, path, "json").folder()
+    path = path if current is None else f"{path}/{current}"
     reader = spark.read.schema(f"{FEED}, items array<struct<{FEED}>>").option("mode", "DROPMALFORMED")
     rows = reader.json(path)
     if rows.where("id IS NOT NULL OR url IS NOT NULL OR title IS NOT NULL OR items IS NOT NULL").isEmpty():

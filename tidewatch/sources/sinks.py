@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.versions import Versions
+
 
 def csv(df: DataFrame, path: str, mark: bool = True) -> None:
     """CSV with a header, after a byte-order mark unless that is not wanted; arrays and structs as JSON."""
@@ -15,10 +17,15 @@ def csv(df: DataFrame, path: str, mark: bool = True) -> None:
 
 
 def feed(df: DataFrame, path: str) -> bool:
-    """Replace the cached feed unless there is nothing to write; says whether it did."""
-    if df.limit(1).count() == 0:
+    """Replace the cached feed by a new version unless there is nothing to write; says whether it did.
+
+    df may read the feed it replaces. The version before stays, as readers may be at it; older ones go.
+    """
+    if df.isEmpty():
         return False
-    df.write.mode("overwrite").json(path)
+    store = Versions(df.sparkSession, path, "json")
+    store.publish(df)
+    store.expire()
     return True
 
 

@@ -15,9 +15,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.lexicons import KOREAN, Profile
 from tidewatch.operators import feed as A
+from tidewatch.operators import graph as G
+from tidewatch.operators import incremental
 from tidewatch.operators.components import stored
 from tidewatch.operators.reports import status_of
 from tidewatch.sources import sinks
+from tidewatch.sources.versions import Versions
 
 EVERY = "30 minutes"
 
@@ -31,12 +34,11 @@ def feed_cycle(items: DataFrame, cache: str, checkpoint: str, every: str | None
 
     def refresh(batch: DataFrame, number: int) -> None:
         new = A.classified(batch, profile)
-        try:
-            old = spark.read.schema(new.schema).json(cache)
-        except Exception:  # no cache yet
-            old = new.limit(0)
-        # Stored first: the cache is read while its replacement is made.
-        sinks.feed(stored(A.distinct_items(old.unionByName(new, allowMissingColumns=True)), "feed"), cache)
+        if new.isEmpty():
+            return
+        # A cache that can't be read is an error: only where there is none yet may the new items stand alone.
+        old = Versions(spark, cache, "json").read(new.schema)
+        sinks.feed(A.distinct_items(new if old is None else old.unionByName(new, allowMissingColumns=True)), cache)
 
     writer = items.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -86,3 +88,16 @@ def recompute(reports: DataFrame, build: Callable[[], None], checkpoint: str) ->
             build()
 
     return reports.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def follow(reports: DataFrame, state: str, checkpoint: str, profile: Profile = KOREAN, every: str | None = None) -> StreamingQuery:
+    """Add every batch of new reports to the clusters kept under state; incremental.clusters reads them.
+
+    A batch that is delivered twice is added once, as it is written under its number.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        incremental.add(state, stored(G.prepared(batch, profile), "prepared"), number)
+
+    writer = reports.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
