@@ -1,7 +1,10 @@
+import math
 import os
+import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import quality_gbt as Q
@@ -82,3 +85,79 @@ def test_quality_without_labels_and_with_odd_rows(spark, odd, none):
     nothing = Q.train(odd, labels.where("quality > 9"))
     assert {r.p for r in Q.score(odd, nothing, keep=["doc_id"], name="p").collect()} == {0.5}
     assert Q.keep_good(none, labels).count() == 0 and Q.keep_good(odd, labels).columns == odd.columns
+
+
+def brute_margins(x, y, trees, depth, bins, rate):
+    """Boosting by loops: every feature and edge of every node is tried on the rows themselves. Margins of the training rows."""
+    n, m = x.shape
+    edges = [np.unique(np.quantile(x[:, j], np.arange(1, bins) / bins)) for j in range(m)]
+    margin = np.full(n, np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-12)
+        nodes = [np.arange(n)]
+        for _ in range(depth):
+            below = []
+            for rows in nodes:
+                best, left = 1e-9, rows
+                gt, ht = g[rows].sum(), h[rows].sum()
+                for j in range(m):
+                    for e in edges[j]:
+                        low = rows[x[rows, j] <= e]
+                        gl, hl = g[low].sum(), h[low].sum()
+                        if hl < Q.MIN_HESSIAN or ht - hl < Q.MIN_HESSIAN:
+                            continue
+                        gain = gl**2 / (hl + Q.L2) + (gt - gl) ** 2 / (ht - hl + Q.L2) - gt**2 / (ht + Q.L2)
+                        if gain > best + 1e-10:
+                            best, left = gain, low
+                below += [left, np.setdiff1d(rows, left)]
+            nodes = below
+        for rows in nodes:
+            margin[rows] -= rate * g[rows].sum() / (h[rows].sum() + Q.L2)
+    return margin
+
+
+def test_trees_are_those_of_a_loop_over_all_splits():
+    rng = np.random.default_rng(4)
+    for n, m, trees, depth, bins in ((60, 4, 6, 3, 12), (90, 3, 4, 2, 8), (40, 2, 5, 4, 48)):
+        x = np.round(rng.normal(size=(n, m)), 2)
+        y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(size=n) * 0.3 > 0.5).astype(float)
+        model = Q.fit(x, y, trees, depth, bins, 0.3)
+        got = model.probability(x)
+        assert np.allclose(np.log(got / (1 - got)), brute_margins(x, y, trees, depth, bins, 0.3), atol=1e-9)
+
+
+def test_query_scores_are_walks_of_the_model(spark, sf):
+    """Each score of the query against one walk after the other through the trees that the labels give."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.train(docs, labels)
+
+    def walk(v):
+        total = model.prior
+        for k in range(len(model.feature)):
+            at = 0
+            for _ in range(model.depth):
+                at = 2 * at + (1 if v[model.feature[k, at]] <= model.threshold[k, at] else 2)
+            total += model.value[k, at - (len(model.feature[k]))]
+        return 1 / (1 + math.exp(-total))
+
+    got = {r.doc_id: r for r in Q.op4_quality_gbt(spark, sf).collect()}
+    for r in docs.collect():
+        want = walk(Q.features(np.array([measure((r.text or "").encode())]))[0])
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-9) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_ablations_of_every_policy(spark, sf):
+    """The counts of the stored ledger against rules that are evaluated for each document and policy again."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r.asDict() for r in R.measured(docs, keep=[]).collect()]
+    fails = []
+    for r in rows:
+        env = {k: v for k, v in r.items()}
+        fails.append({name for _, name, condition in R.RULES if eval(condition.replace(" OR ", " or ").replace(" AND ", " and "), {}, env)})
+    want = {
+        (p, rule): (sum(rule in f for f in fails), sum(f & set(of) == {rule} for f in fails), sum(not f & set(of) for f in fails), sum(not f & (set(of) - {rule}) for f in fails))
+        for p, of in R.POLICIES.items() for rule in of
+    }
+    assert {(r.policy, r.rule): (r.failed, r.failed_alone, r.kept, r.kept_without) for r in R.rule_ablations(spark, sf).collect()} == want

@@ -8,7 +8,7 @@ from tidewatch.llm.html_main_text import op9_html_main_text
 from tidewatch.llm.katz import op2_katz_scores
 from tidewatch.llm.prefix_trie import op12_prefix_trie
 from tidewatch.llm.quality_gbt import op4_quality_gbt
-from tidewatch.llm.rule_ledger import op5_rule_ledger
+from tidewatch.llm.rule_ledger import op5_rule_ledger, rule_ablations
 from tidewatch.llm.secret_scan import op7_secret_markov_scan
 from tidewatch.llm.simhash_dedup import op6_simhash_pivot_dedup
 from tidewatch.llm.source_divergence import op13_source_divergence
@@ -31,6 +31,7 @@ QUERIES = {
     "op11_wavelet_ids": op11_wavelet_ids,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_source_divergence": op13_source_divergence,
+    "rule_ablations": rule_ablations,
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op5_rule_ledger": rule_ledger.ORACLE,
     "op12_prefix_trie": prefix_trie.ORACLE,
     "op13_source_divergence": source_divergence.ORACLE,
+    "rule_ablations": rule_ledger.ABLATIONS_ORACLE,
 }

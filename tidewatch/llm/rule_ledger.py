@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidewatch.llm.common import table, with_arrow_columns
 from tidewatch.llm.text_stats import NAMES, measure
+from tidewatch.operators.components import stored
 
 #: Bit, name and the SQL condition, over the measurements, under which a document fails.
 RULES: tuple[tuple[int, str, str], ...] = (
@@ -97,6 +98,19 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every policy and each of its rules, over all documents: what fails it, fails it alone, is kept, and would be kept without it.
+
+    The ledger is written once; all policies read its bits.
+    """
+    rows = stored(ledger(table(spark, sf_dir, "documents")), "ledger")
+    parts = []
+    for policy in POLICIES:
+        kept = apply_policy(rows, policy).agg(F.count_if("kept").alias("kept"))
+        parts.append(ablations(rows, policy).crossJoin(F.broadcast(kept)).select(F.lit(policy).alias("policy"), "rule", "failed", "failed_alone", "kept", "kept_without"))  # one row
+    return reduce(DataFrame.unionByName, parts)
+
+
 ORACLE = r"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
@@ -136,3 +150,11 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 127) = 0 AS kept, fail_bits::BIGINT AS fail_bits
 FROM b
 """
+
+_BITS = {name: 1 << bit for bit, name, _ in RULES}
+_RULES_OF = ", ".join(f"('{p}', '{r}', {_BITS[r]}, {mask(rs)})" for p, rs in POLICIES.items() for r in rs)
+ABLATIONS_ORACLE = f"""
+SELECT policy, rule, sum((fail_bits & bit <> 0)::BIGINT)::BIGINT AS failed, sum((fail_bits & of = bit)::BIGINT)::BIGINT AS failed_alone,
+  sum((fail_bits & of = 0)::BIGINT)::BIGINT AS kept, sum((fail_bits & (of - bit) = 0)::BIGINT)::BIGINT AS kept_without
+FROM ({ORACLE}) x, (VALUES {_RULES_OF}) r(policy, rule, bit, of) GROUP BY policy, rule
+"""
