@@ -40,3 +40,11 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
+
+
+def require_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """df, or an error if a row's text is null or blank."""
+    require_columns(df, [text])
+    if not df.where(F.trim(F.coalesce(F.col(text), F.lit(""))) == "").isEmpty():
+        raise ValueError(f"{text} is empty")
+    return df

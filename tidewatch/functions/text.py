@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.columns import any_in, cascade, strings
 from tidewatch.functions.urls import host_of, in_domains
-from tidewatch.lexicons import FIND_URL, KOREAN, MASK_URL, MODEL_URL, PHONE, URL_PARTICLES, Profile
+from tidewatch.lexicons import FIND_URL, GENERATED_PHONE, GENERATED_URL, KOREAN, MASK_URL, MODEL_URL, PHONE, URL_PARTICLES, Profile
 
 TOKEN = r"[0-9A-Za-z가-힣]+"
 _URL_CHARS = r"A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%\-"
@@ -190,6 +190,29 @@ def for_model(df: DataFrame, text: str = "text", name: str = "model_text", profi
     return rows.withColumn(name, squeeze(F.col("_m"))).drop("_m")
 
 
+def for_generated(df: DataFrame, text: str = "text", name: str = "model_text", profile: Profile = KOREAN) -> DataFrame:
+    """Append the text as the generator of synthetic notices masks it, which differs from for_model.
+
+    Any dotted name with an ending of letters is a URL; a host is what lies before the first slash,
+    without "www." wherever it is. Numbers that begin with 1 and three digits are official, and all
+    that are not known to be foreign or official are mobile ones.
+    """
+    def url_class(u: Column) -> Column:
+        host = F.replace(F.lower(F.substring_index(F.regexp_replace(u, r"(?i)^https?://", ""), "/", 1)), F.lit("www."), F.lit(""))
+        return F.when(in_domains(host, profile.official_domains), "[URL_OFFICIAL]").when(in_domains(host, profile.url_shorteners), "[URL_SHORTENER]").otherwise("[URL_SUSPICIOUS]")
+
+    def number_class(phone: Column) -> Column:
+        digits = F.regexp_replace(phone, r"\D", "")
+        foreign = F.trim(phone).startswith("+") & ~digits.startswith("82")
+        official = digits.isin(*profile.official_numbers) | (~digits.startswith("010") & digits.rlike("^(1[0-9]{3}|15|16|18)"))
+        return F.when(foreign, "[PHONE_FOREIGN]").when(official, "[PHONE_OFFICIAL]").otherwise("[PHONE_MOBILE]")
+
+    rows = df.withColumn("_m", F.translate(nfkc(F.col(text)), "\r\n\t", "   "))
+    rows = rows.withColumn("_m", _replaced(F.col("_m"), GENERATED_URL, lambda u: F.transform(u, url_class)))
+    rows = rows.withColumn("_m", _replaced(F.col("_m"), GENERATED_PHONE, lambda p: F.transform(p, number_class)))
+    return rows.withColumn(name, squeeze(F.col("_m"))).drop("_m")
+
+
 #: Class tokens and the names of their presence flags.
 FLAGS = (
     ("[URL_OFFICIAL]", "has_official_url"), ("[URL_SHORTENER]", "has_shortener_url"), ("[URL_SUSPICIOUS]", "has_suspicious_url"),

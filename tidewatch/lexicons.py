@@ -167,6 +167,10 @@ MIXED = (("정지", "정zi"), ("클릭", "click"), ("로그인", "log-in"), ("
 SPLIT = (("정지", "정ㅈㅣ"), ("인증", "인ㅈㅡㅇ"), ("계좌", "계ㅈㅘ"), ("송금", "송ㄱㅡㅁ"), ("확인", "확ㅇㅣㄴ"), ("결제", "결ㅈㅔ"))
 DOTTED = ((".com", "[.]com"), (".net", "[.]net"), (".org", "[.]org"), (".xyz", "[.]xyz"), (".top", "[.]top"))
 
+#: URLs and phone numbers as the generator of synthetic notices masks them, wider than those above.
+GENERATED_URL = r"(?Ui)\b(?:https?://|www\.)[^\s]+|\b(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s]*)?"
+GENERATED_PHONE = r"(?U)(?<!\d)(?:\+\d{1,3}[-\s]?)?0?\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4}(?!\d)"
+
 #: What each source's summary says of a {title}, and the advice that follows; "" is any other {source}. Shown as they are, and compared as they are.
 SUMMARIES = {
     "KISA": "KISA에서 '{title}' 관련 경보를 안내하고 있습니다. 의심스러운 문자·링크·전화는 즉시 반응하지 말고 공식 기관의 홈페이지나 대표번호를 통해 직접 확인하세요.",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import scoring as S
 from tidewatch.functions import text as T
 from tidewatch.functions import urls as U
+from tidewatch.functions.columns import require_texts
 from tidewatch.lexicons import KOREAN, Profile
 from tidewatch.operators import graph as G
 from tidewatch.operators import relational as R
@@ -59,6 +60,12 @@ def score(messages: DataFrame, reports: DataFrame, probability: str = "probabili
     return out.join(found, "id", "left")
 
 
+def message_results(messages: DataFrame, probability: str = "probability", text: str = "text") -> DataFrame:
+    """The older results by probability alone: score, risk_level and verdict of each message; an error if a text is empty."""
+    rows = require_texts(messages, text)
+    return rows.withColumns({"score": F.round(probability, 4), **S.message_risk(F.col(probability))})
+
+
 def meta_dataset(messages: DataFrame, reports: DataFrame, probability: str = "probability", profile: Profile = KOREAN) -> DataFrame:
     """Every message's signals as features: model_p, rule_s, rep_s, has_url and url_count."""
     scored = score(messages, reports, probability, profile=profile)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import text_evidence
+from tidewatch.functions.urls import host_of, total_weight
 from tidewatch.lexicons import ENGLISH
 from tidewatch.operators import agencies as G
+from tidewatch.operators import pipelines
 from tidewatch.plans.report_queries import _CATEGORY, _KEYWORDS, _TITLE
 from tidewatch.plans.tables import table
+from tidewatch.plans.url_queries import _REG, HOSTS, PAGES
 
 #: What the link of an item looks like on each agency's list, by the item's number.
 _LINKS = ('href="javascript:" class="nttInfoBtn on" data-id="{}"', "href='BD_selectBbs.do?q_bbsCode=1002&amp;q_bbscttSn={}'", 'href="./view.do?nttId={}&amp;menuNo=1"')
@@ -39,8 +44,32 @@ def agency_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "source", "title", "published_at", "url", "category", F.array_join("keywords", ",").alias("keywords"))
 
 
-QUERIES = {"agency_items": agency_items}
+def report_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most frequent categories of texts and domains of hosts, over documents and pages as user reports, and seeds that don't count."""
+    none = F.array().cast("array<string>")
+    texts = table(spark, sf_dir, "documents").select("text", none.alias("domains"), F.when(F.col("source").isNull(), "seed").otherwise("user").alias("source"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("").alias("text"), F.array(host_of(F.col("url"))).alias("domains"), F.lit("user").alias("source"))
+    seeds = table(spark, sf_dir, "benchmark").select("text", none.alias("domains"), F.lit("seed").alias("source"))
+    return pipelines.trends(texts.unionByName(pages).unionByName(seeds), profile=ENGLISH)
 
+
+RULED = replace(ENGLISH, text_shorteners=("example.org",), text_tlds=("net", "com"))
+
+
+def domain_rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of texts and domains over every page: hosts of each seventh are blocked, and its address is its text."""
+    host = host_of(F.col("url"))
+    tail = F.array_join(F.slice(F.split(host, r"\."), -2, 2), ".")
+    rows = table(spark, sf_dir, "pages").select("page_id", F.array_distinct(F.array(host, tail)).alias("domains"), F.when(F.col("page_id") % 7 == 0, F.array(host)).otherwise(F.array().cast("array<string>")).alias("blocked"), F.lower("url").alias("norm"))
+    found = rows.withColumn("e", text_evidence(F.col("domains"), F.col("norm"), F.col("blocked"), RULED))
+    return found.select("page_id", F.array_join(F.array_sort(F.transform("e", lambda e: F.concat_ws(":", e["type"], e["detail"]))), "|").alias("evidence"), total_weight(F.col("e")).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (agency_items, report_trends, domain_rule_score)}
+
+_any = lambda ws: " OR ".join(f"contains(t, '{w.lower()}')" for w in ws)
+_NAMES = " UNION ALL ".join(f"SELECT '{n}' AS label WHERE {_any(ws)}" for n, ws in ENGLISH.categories)
+_KEYS = ", ".join(f"('{k}', {w})" for k, w in RULED.keywords)
 _TEXT = _TITLE.replace("ELSE regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)", "ELSE ''")
 ORACLES = {
     "agency_items": f"""WITH t AS (SELECT page_id, {_TEXT} AS title, '2024-' || lpad((page_id % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS published_at FROM pages)
@@ -48,4 +77,14 @@ ORACLES = {
         ['https://spam.kisa.or.kr/spam/na/ntt/selectNttInfo.do?bbsId=1001&mi=1019&nttSn=', 'https://www.police.go.kr/user/bbs/BD_selectBbs.do?q_bbsCode=1002&q_bbscttSn=', 'https://www.fss.or.kr/fss/bbs/B0000175/view.do?nttId='][page_id % 3 + 1]
           || page_id || CASE WHEN page_id % 3 = 2 THEN '&menuNo=1' ELSE '' END AS url, {_CATEGORY} AS category,
         CASE WHEN len({_KEYWORDS}) > 0 THEN array_to_string({_KEYWORDS}[1:5], ',') ELSE '{ENGLISH.title_default}' END AS keywords FROM t WHERE title <> '' AND ({" OR ".join(f"contains(title, '{k}')" for k in ENGLISH.alert_keywords)})""",
+    "report_trends": rf"""WITH {PAGES}, {HOSTS}, d AS (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents WHERE source IS NOT NULL),
+      c AS (SELECT n.label, count(*) AS count FROM d, LATERAL ({_NAMES}) n GROUP BY 1 ORDER BY count DESC, label LIMIT 5),
+      g AS (SELECT {_REG} AS label, count(*) AS count FROM (SELECT h.h FROM pages JOIN (SELECT DISTINCT url, h FROM h) h ON pages.url = h.url) WHERE h <> '' GROUP BY 1 ORDER BY count DESC, label LIMIT 5)
+      SELECT 'category' AS kind, label, count FROM c UNION ALL SELECT 'domain', label, count FROM g""",
+    "domain_rule_score": rf"""WITH {PAGES}, {HOSTS}, p AS (SELECT page_id, lower(pages.url) AS norm, h.h, split_part(h.h, '.', -2) || '.' || split_part(h.h, '.', -1) AS tail FROM pages JOIN (SELECT DISTINCT url, h FROM h) h ON pages.url = h.url),
+      d AS (SELECT page_id, unnest(list_distinct([h, tail])) AS d, h, page_id % 7 = 0 AS blocked FROM p),
+      e AS (SELECT page_id, '피싱 URL 명단:' || d AS e, 0.5 AS w FROM d WHERE blocked AND d = h UNION ALL SELECT page_id, '단축 URL:' || d, 0.2 FROM d WHERE d = 'example.org'
+        UNION ALL SELECT page_id, '의심 TLD:.' || split_part(d, '.', -1) || ' (' || d || ')', 0.15 FROM d WHERE split_part(d, '.', -1) IN ('net', 'com') AND contains(d, '.') AND NOT (blocked AND d = h)
+        UNION ALL SELECT page_id, '행동 유도 문구:' || k, w FROM p, (VALUES {_KEYS}) x(k, w) WHERE contains(norm, k))
+      SELECT p.page_id, coalesce(string_agg(e, '|' ORDER BY e), '') AS evidence, round(least(coalesce(sum(w), 0), 1)::DOUBLE, 4) AS score FROM p LEFT JOIN e ON e.page_id = p.page_id GROUP BY p.page_id""",
 }

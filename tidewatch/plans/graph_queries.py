@@ -99,12 +99,12 @@ _MATCH = """, ct AS (SELECT DISTINCT cluster, w FROM t JOIN m USING (id)),
   most AS (SELECT t.id, cluster, count(*) AS n FROM t JOIN ct USING (w) GROUP BY ALL),
   best AS (SELECT id, max(n) AS shared, arg_max(cluster, n * 1000000 - cluster) AS cluster FROM most GROUP BY id HAVING max(n) >= 2),
   near AS (SELECT a.id, m.cluster, b.id AS other, count(*) AS n FROM t a JOIN t b ON a.w = b.w JOIN m ON m.id = b.id GROUP BY ALL HAVING count(*) >= 2),
-  alike AS (SELECT id, cluster, count(*) AS similar FROM near GROUP BY ALL),
+  alike AS (SELECT id, cluster, count(*) AS "similar" FROM near GROUP BY ALL),
   match AS (SELECT c.id, CASE WHEN reg IS NOT NULL THEN dc.cluster WHEN sender IS NOT NULL THEN sc.cluster ELSE best.cluster END AS cluster,
       CASE WHEN reg IS NOT NULL THEN 'domain' WHEN sender IS NOT NULL THEN 'sender' ELSE 'strong_phrase' END AS match_type,
-      CASE WHEN reg IS NULL AND sender IS NULL THEN best.shared ELSE 0 END AS shared, CASE WHEN reg IS NULL AND sender IS NULL THEN alike.similar ELSE 0 END AS similar
+      CASE WHEN reg IS NULL AND sender IS NULL THEN best.shared ELSE 0 END AS shared, CASE WHEN reg IS NULL AND sender IS NULL THEN alike."similar" ELSE 0 END AS "similar"
     FROM c LEFT JOIN (SELECT reg, min(cluster) AS cluster FROM c GROUP BY reg) dc USING (reg) LEFT JOIN (SELECT sender, min(cluster) AS cluster FROM c GROUP BY sender) sc USING (sender)
-    LEFT JOIN best ON best.id = c.id LEFT JOIN alike ON alike.id = c.id AND alike.cluster = best.cluster WHERE reg IS NOT NULL OR sender IS NOT NULL OR alike.similar >= 2)"""
+    LEFT JOIN best ON best.id = c.id LEFT JOIN alike ON alike.id = c.id AND alike.cluster = best.cluster WHERE reg IS NOT NULL OR sender IS NOT NULL OR alike."similar" >= 2)"""
 _RULES = ", ".join(f"'{r}'" for r in RULES)
 ORACLES = {
     "chat_graph_nodes": f"{_CHAT} SELECT id, label, type, cluster FROM nodes",
@@ -113,11 +113,11 @@ ORACLES = {
       a AS (SELECT id, arg_min(n, (o, n)) AS anchor FROM ents GROUP BY id), h AS (SELECT DISTINCT host, min(host) OVER (PARTITION BY reg) AS low FROM e WHERE host IS NOT NULL),
       u AS (SELECT anchor AS x, n AS y FROM ents JOIN a USING (id) WHERE n <> anchor UNION SELECT 'url:' || low, 'url:' || host FROM h WHERE low <> host)
       SELECT DISTINCT least(x, y) AS source, greatest(x, y) AS target FROM u""",
-    "chat_match": f"{_CHAT} {_MATCH} SELECT id, cluster, match_type, shared, similar FROM match",
+    "chat_match": f'{_CHAT} {_MATCH} SELECT id, cluster, match_type, shared, "similar" FROM match',
     "chat_campaigns": f"""{_CHAT} {_MATCH}, s AS (SELECT cluster, count(*) AS similar_case_count, min(ts) AS first_seen, max(ts) AS last_seen,
         count(*) FILTER (ts >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS) AS reports_last_24h FROM c GROUP BY cluster)
       SELECT x.id, x.cluster, x.match_type, similar_case_count, (SELECT count(*) FROM c b WHERE b.cluster = x.cluster AND b.reg = i.reg) AS shared_domain_count,
-        (SELECT count(*) FROM c b WHERE b.cluster = x.cluster AND b.sender = i.sender) AS shared_sender_count, coalesce(al.similar, 0) AS similar_phrase_count, first_seen, last_seen, reports_last_24h,
+        (SELECT count(*) FROM c b WHERE b.cluster = x.cluster AND b.sender = i.sender) AS shared_sender_count, coalesce(al."similar", 0) AS similar_phrase_count, first_seen, last_seen, reports_last_24h,
         CASE WHEN reports_last_24h >= 5 THEN 'rapidly_spreading' WHEN reports_last_24h >= 1 THEN 'active' ELSE 'historical' END AS status
       FROM match x JOIN e i USING (id) JOIN s ON s.cluster = x.cluster LEFT JOIN alike al ON al.id = x.id AND al.cluster = x.cluster""",
     "incremental_clusters": f"{_CHAT} SELECT id, root, cluster FROM m",
