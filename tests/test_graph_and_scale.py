@@ -1,6 +1,7 @@
 """Incremental clusters, campaigns, quantiles, similarity, splits and suffix rules against plain Python."""
 
 import itertools
+import os
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -9,6 +10,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.operators import components
 from tidewatch.operators import graph as G
 from tidewatch.operators import incremental as I
 from tidewatch.operators import relational as R
@@ -238,3 +240,47 @@ def test_suffix_rules_serve_the_graph(spark):
     assert {r.id: r.root for r in members.collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
     edges = {(r.source, r.target) for r in G.edges(ready, members, G.nodes(ready, members, CHAT)).collect()}
     assert edges == {("url:b.town.ck", "url:x.b.town.ck"), ("url:a.co.kr", "url:x.b.town.ck")}
+
+
+def test_stored_tables_are_dropped(spark):
+    first = components.stored(spark.range(3), "t")
+    path = first.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(path) and components.drop_stored(spark) >= 1 and not os.path.exists(path) and components.drop_stored(spark) == 0
+
+
+def test_the_generators_view_of_texts(spark):
+    """Against the same rules in Python's own expressions."""
+    import re
+
+    from tidewatch.functions import text as T
+    from tidewatch.lexicons import KOREAN
+
+    texts = ["택배 http://track.hanjin.com/x 문의 1588-0011", "go bit.ly/a and evil.example.xyz/p?q 010-1234-5678", "+1 202 5550 1234 또는 +82 10-1234-5678", "02-123-4567 plain", "www.kbstar.com 1234-5678\n끝", "", None, "a.b 1.2.3"]
+
+    def url(m):
+        host = re.sub("(?i)^https?://", "", m.group()).split("/")[0].lower().replace("www.", "")
+        under = lambda ds: any(host == d or host.endswith("." + d) for d in ds)
+        return " [URL_OFFICIAL] " if under(KOREAN.official_domains) else " [URL_SHORTENER] " if under(KOREAN.url_shorteners) else " [URL_SUSPICIOUS] "
+
+    def phone(m):
+        d = re.sub(r"\D", "", m.group())
+        if m.group().strip().startswith("+") and not d.startswith("82"):
+            return " [PHONE_FOREIGN] "
+        return " [PHONE_OFFICIAL] " if d in KOREAN.official_numbers or (not d.startswith("010") and re.match("1[0-9]{3}|15|16|18", d)) else " [PHONE_MOBILE] "
+
+    def plain(t):
+        t = re.sub(r"(?i)\b(?:https?://|www\.)[^\s]+|\b(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s]*)?", url, t or "")
+        return " ".join(re.sub(r"(?<!\d)(?:\+\d{1,3}[-\s]?)?0?\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4}(?!\d)", phone, t.replace("\n", " ")).split())
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert [r.model_text for r in T.for_generated(df).orderBy("i").collect()] == [plain(t) for t in texts]
+
+
+def test_an_empty_text_is_an_error(spark):
+    from tidewatch.operators import pipelines
+
+    rows = spark.createDataFrame([("a", 0.9), ("b", 0.6), ("c", 0.1)], "text string, probability double")
+    assert [(r.score, r.risk_level, r.verdict) for r in pipelines.message_results(rows).orderBy("text").collect()] == [(0.9, "high", "phishing"), (0.6, "medium", "suspicious"), (0.1, "low", "normal")]
+    for bad in (" ", None):
+        with pytest.raises(ValueError, match="empty"):
+            pipelines.message_results(rows.unionByName(spark.createDataFrame([(bad, 0.5)], "text string, probability double")))

@@ -24,10 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+#: Folders that stored has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write df as Parquet under the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet under the shared folder and read it back. drop_stored deletes what was written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -35,6 +40,15 @@ def stored(df: DataFrame, name: str = "table", partition_by: list[str] | None =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application, and say how many; for when the results that read them are written."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Label every vertex that occurs in an edge with the smallest vertex it can reach.
 
