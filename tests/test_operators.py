@@ -1,7 +1,9 @@
 import itertools
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,13 +203,35 @@ def test_model(spark):
     assert out.first().probability == len(rows[0][0])
 
 
-def test_model_counts_on_a_log_scale(spark):
-    df = spark.createDataFrame([("ababab", 1), ("ab", 0), ("abab", 1)], "text string, label int")
-    model = M.fit(df, high=2)
-    rows = model.transform(M.with_ngrams(df, "text", high=2)).collect()
-    at = model.stages[0].vocabulary.index("ab")
-    assert {r.text: r.scaled[at] for r in rows} == pytest.approx({"ababab": 1 + math.log(3), "ab": 1.0, "abab": 1 + math.log(2)})
-    assert all(set(r.scaled.indices) == set(r.counts.indices) for r in rows)
+def test_model_weights_and_probabilities_by_hand(spark, tmp_path):
+    """Features, coefficients and probabilities against scikit-free arithmetic: TF-IDF by dictionaries, the optimum by its gradient."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc" if i % 3 else "abcxyz") for _ in range(rng.randint(1, 14))) for i in range(60)] + ["", "ababab"]
+    rows = [(t, int("x" in t or len(t) > 9)) for t in texts]
+    df = spark.createDataFrame(rows, "text string, label int")
+    model = M.fit(df, iterations=400, high=3)
+    grams = [Counter(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)) for t in texts]
+    held = Counter(g for c in grams for g in c)
+    terms = model.terms.vocabulary
+    assert set(terms) == {g for g, n in held.items() if n >= 2}
+    idf = {g: math.log((len(texts) + 1) / (held[g] + 1)) for g in terms}
+    x = np.array([[(1 + math.log(c[g])) * idf[g] if c[g] else 0.0 for g in terms] for c in grams])
+    y = np.array([r[1] for r in rows], float)
+    coefficients = np.array([w / idf[g] if idf[g] else 0.0 for w, g in zip(model.weights, terms, strict=True)])
+    p = 1 / (1 + np.exp(-(x @ coefficients + model.intercept)))
+    got = {r.text: r.probability for r in M.predict(model, df).collect()}
+    assert all(got[t] == pytest.approx(v, abs=6e-5) for t, v in zip(texts, p, strict=True))
+    # Balanced weights; the penalty is on coefficients of standardised features. At the optimum no gradient is left.
+    share = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    mean = (share[:, None] * x).sum(0) / share.sum()
+    spread = (share[:, None] * (x - mean) ** 2).sum(0) / (share.sum() * (1 - (share**2).sum() / share.sum() ** 2))
+    gradient = (share * (p - y)) @ x / share.sum() + 0.01 * coefficients * spread
+    assert abs(((p - y) * share).sum() / share.sum()) < 1e-4 and np.abs(gradient).max() < 2e-3
+    model.save(str(tmp_path / "m"))
+    again = M.TextModel.load(str(tmp_path / "m"))
+    assert {r.text: r.probability for r in M.predict(again, df).collect()} == got
+    plan = M.predict(model, df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_scores_use_the_defaults_of_the_model(spark, sf, monkeypatch):
@@ -217,7 +241,7 @@ def test_scores_use_the_defaults_of_the_model(spark, sf, monkeypatch):
     monkeypatch.setattr(M, "fit", lambda df, **given: asked.append((given, fit(df, features=5000, iterations=1))) or asked[-1][1])
     text_queries.lr_model_scores(spark, sf)
     given, model = asked[0]
-    assert given == {} and {len(g) for g in model.stages[0].vocabulary} == {2, 3, 4}
+    assert given == {} and {len(g) for g in model.terms.vocabulary} == {2, 3, 4}
 
 
 def test_feed(spark):

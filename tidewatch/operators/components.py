@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,8 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def stored(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write df as Parquet under the shared folder and read it back. drop_stored deletes what was written."""
+def stored(df: DataFrame, name: str = "table", partition_by: list[str] | None = None, schema: StructType | None = None) -> DataFrame:
+    """Cut the lineage: write df as Parquet under the shared folder and read it back, under another schema of the same columns if given. drop_stored deletes what was written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
@@ -37,7 +38,7 @@ def stored(df: DataFrame, name: str = "table", partition_by: list[str] | None =
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def drop_stored(spark: SparkSession) -> int:
