@@ -45,7 +45,7 @@ SAFE = "!-~\u00c0-\u024f"
 FIRST = re.compile(rf"[{SAFE}]")
 LAST = re.compile(rf"[{SAFE}]\Z")
 #: Pieces, of so many characters at most, whose ids a task remembers.
-REMEMBERED, SHORT = 300_000, 40
+REMEMBERED, SHORT = 1_000_000, 40
 #: Places that are returned at a time.
 DECODED = 1 << 20
 
@@ -73,8 +73,9 @@ class WaveletMatrix:
             ones = np.bitwise_count(plane).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
             planes.append(plane.tobytes())
             ranks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)]).tobytes())
-            zeros.append(len(row) - int(bit.sum()))
-            row = np.concatenate([row[~bit], row[bit]])
+            ones = np.flatnonzero(bit)
+            zeros.append(len(row) - len(ones))
+            row = np.concatenate([row[np.flatnonzero(~bit)], row[ones]])
         return cls(len(ids), zeros, planes, ranks)
 
     def _bits(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -113,8 +114,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             zeros, out = self.zeros[level], np.empty(self.n, kind)
-            out[~bit] = row[:zeros]
-            out[bit] = row[zeros:] | kind(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(bit)] = row[zeros:] | kind(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~bit)] = row[:zeros]
             row = out
         return row
 
