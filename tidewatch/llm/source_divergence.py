@@ -50,18 +50,28 @@ def slices(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+def same_bytes(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each slice, whether its bytes are those of as many from another place; so many slices at a time."""
+    out = np.empty(len(starts), bool)
+    for k in range(0, len(starts), 1 << 16):
+        n = lengths[k : k + (1 << 16)]
+        begin = np.cumsum(n) - n
+        inner = np.arange(int(n.sum())) - np.repeat(begin, n)
+        alike = low[np.repeat(starts[k : k + len(n)], n) + inner] == low[np.repeat(others[k : k + len(n)], n) + inner]
+        out[k : k + len(n)] = np.logical_and.reduceat(alike, begin)
+    return out
+
+
 def grouped(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """For each slice the number of its term, and the terms."""
     data = low.tobytes()
     hashes = np.fromiter((xxh64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
     _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
     terms = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    lengths, shift = ends - starts, starts[first][number] - starts
-    same = lengths == (ends - starts)[first][number]
+    lengths = ends - starts
+    same = lengths == lengths[first][number]
     if same.all():
-        at = np.flatnonzero(low != 0)
-        alike = low[at] == low[at + np.repeat(shift, lengths)]
-        same = np.logical_and.reduceat(alike, np.cumsum(lengths) - lengths) if len(lengths) else same
+        same = same_bytes(low, starts, lengths, starts[first][number])
     if not same.all():  # two terms of one hash
         known: dict[bytes, int] = {}
         number = np.array([known.setdefault(data[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
