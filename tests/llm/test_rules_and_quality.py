@@ -161,3 +161,13 @@ def test_ablations_of_every_policy(spark, sf):
         for p, of in R.POLICIES.items() for rule in of
     }
     assert {(r.policy, r.rule): (r.failed, r.failed_alone, r.kept, r.kept_without) for r in R.rule_ablations(spark, sf).collect()} == want
+
+
+def test_columns_of_the_names_of_measurements(spark):
+    from tidewatch.llm import token_counts as K
+
+    df = spark.createDataFrame([(1, "a b", -1, -1)], "doc_id long, text string, n_words long, n_tokens long")
+    made = R.measured(df)
+    assert len(set(made.columns)) == len(made.columns) and made.first().n_words == 2
+    counted = K.token_counts(df, [b"a\0", b"b\0"])
+    assert sorted(counted.columns) == ["doc_id", "n_tokens", "n_unknown", "n_words", "text"] and counted.first().n_tokens == 2

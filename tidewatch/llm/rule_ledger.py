@@ -45,7 +45,8 @@ def mask(rules: tuple[str, ...] | list[str]) -> int:
 
 
 def measured(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Append the counts of text_stats as longs."""
+    """Append the counts of text_stats as longs; columns of their names are replaced."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in NAMES]
 
     def compute(batch: pa.RecordBatch) -> list:
         rows = np.array([measure(x.as_py()) for x in batch.column(0)], np.int64).reshape(-1, len(NAMES))
@@ -91,6 +92,7 @@ def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measurements of every document, the base verdict, and the current policy's."""
     rows = apply_policy(ledger(table(spark, sf_dir, "documents")))
     failed = F.col("fail_bits").bitwiseAND(F.lit(mask(BASE)).cast("long")) != 0
     return rows.select(

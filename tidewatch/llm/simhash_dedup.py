@@ -196,5 +196,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
 
 
 def op6_simhash_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint in hexadecimal and component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -122,8 +122,9 @@ def token_counts(docs: DataFrame, pieces: list[bytes], text: str = "text", keep:
     A-Z are lower-cased; words are runs without ASCII white space; a word that holds a zero byte or
     that the vocabulary can't spell is one unknown token. Null and empty texts count 0. The
     automaton is built once in each Python worker; the pieces, whose number is the vocabulary's,
-    travel as one broadcast.
+    travel as one broadcast. Columns of the three names are replaced.
     """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_words", "n_tokens", "n_unknown")]
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     holder: list[Automaton] = []
 
@@ -143,4 +144,5 @@ def token_counts(docs: DataFrame, pieces: list[bytes], text: str = "text", keep:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the word-piece counts of every document."""
     return token_counts(table(spark, sf_dir, "documents"), load_vocabulary(), keep=["doc_id"])
