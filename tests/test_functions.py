@@ -149,3 +149,22 @@ def test_normal_form_of_plain_and_other_texts(spark):
     texts = ["plain text", "ｆｕｌｌ ①", "é", "한글", "", None, "ﬁ"]
     got = [r.y for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string").select("i", T.nfkc(F.col("x")).alias("y")).orderBy("i").collect()]
     assert got == [unicodedata.normalize("NFKC", t or "") for t in texts]
+
+
+def test_address_variants_follow_urlparse(spark):
+    from urllib.parse import urlparse
+
+    typed = ["HTTP://WWW.A.com:80/P?q=1&r#f", "a.com", "www.x.y.z/path", " b c.com ", "ftp://u:p@h.org/a;b?c", "localhost", "", None, "http://[::1]:8/x", ".a.com.", "example.com?x=http://b.c", "https://k"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(typed)], "i int, u string")
+    got = rows.select("i", U.url_parts(F.col("u")).alias("p"), U.page_tld(F.col("u")).alias("t"), U.dataset_url(F.col("u")).alias("d"), U.dataset_domain(F.col("u")).alias("h")).orderBy("i").collect()
+    for t, r in zip(typed, got, strict=True):
+        v = (t or "").strip().lower()
+        full = v if not v or "://" in v else "http://" + v
+        p = urlparse(full)
+        host = (p.hostname or "").removeprefix("www.")
+        labels = [x for x in host.split(".") if x]
+        assert tuple(r.p) == (p.scheme, host, p.path + (";" + p.params if p.params else ""), p.query, labels[-1] if labels else ""), t
+        assert r.t == (labels[-1] if len(labels) > 1 else "")
+        d = v.replace(" ", "")
+        d = d if not d or d.startswith(("http://", "https://")) else "http://" + d
+        assert (r.d, r.h) == (d, (urlparse(d).hostname or "").removeprefix("www.").strip(".")), t

@@ -92,6 +92,42 @@ def tld_of(host: Column) -> Column:
     return F.when(F.instr(host, ".") > 0, F.substring_index(host, ".", -1)).otherwise("")
 
 
+def _hostname(url: Column) -> Column:
+    """The host of an address with a scheme, without user and port, as it is written."""
+    plain = F.regexp_replace(authority(url), r"^.*@", "")
+    return F.when(plain.startswith("["), F.regexp_extract(plain, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(plain, r"^([^:]*)", 1))
+
+
+def url_parts(url: Column) -> Column:
+    """scheme, host, path, query and tld of an address as error analyses cut it: http:// is added only where "://" is nowhere in it.
+
+    The host keeps outer dots but not a leading "www."; its last label is the tld, even if it is the only one.
+    """
+    value = F.lower(F.trim(F.coalesce(url, F.lit(""))))
+    full = F.when(value == "", "").when(F.instr(value, "://") > 0, value).otherwise(F.concat(F.lit("http://"), value))
+    host = F.regexp_replace(_hostname(full), r"^www\.", "")
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    part = lambda i: F.regexp_extract(full, r"^(?:([a-z][a-z0-9+.-]*):)?(?://[^/?#]*)?([^?#]*)(?:\?([^#]*))?", i)
+    return F.struct(part(1).alias("scheme"), host.alias("host"), part(2).alias("path"), part(3).alias("query"), F.coalesce(F.get(labels, F.size(labels) - 1), F.lit("")).alias("tld"))
+
+
+def page_tld(url: Column) -> Column:
+    """The last label of an address's host, as counts by ending take it: "" where the host has fewer than two labels."""
+    labels = F.filter(F.split(url_parts(url)["host"], r"\."), lambda x: x != "")
+    return F.when(F.size(labels) >= 2, F.get(labels, F.size(labels) - 1)).otherwise("")
+
+
+def dataset_url(url: Column) -> Column:
+    """An address as datasets hold it: lower case without any blank, with http:// unless it begins with http:// or https://."""
+    value = F.replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), F.lit(" "), F.lit(""))
+    return F.when(value == "", "").when(value.rlike("^https?://"), value).otherwise(F.concat(F.lit("http://"), value))
+
+
+def dataset_domain(url: Column) -> Column:
+    """The host of dataset_url without a leading "www." and outer dots."""
+    return F.regexp_replace(F.regexp_replace(_hostname(dataset_url(url)), r"^www\.", ""), r"^\.+|\.+$", "")
+
+
 def is_ip(host: Column) -> Column:
     quad = host.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
     return quad & F.coalesce(F.forall(F.split(host, r"\."), lambda p: p.cast("int") <= 255), F.lit(False))

@@ -23,13 +23,14 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.30, ke
         raise ValueError("the threshold must be above 0")
     a = left.select(F.col(key).alias("left_id"), F.col(tokens).alias("a")).where(F.size("a") >= least)
     b = right.select(F.col(key).alias("right_id"), F.col(tokens).alias("b")).where(F.size("b") >= least)
-    size = lambda df, c: df.agg(F.coalesce(F.sum(F.size(c)), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
-    # A side is counted no further than it takes to know that it is not few.
-    small = size(b.limit(few), "b")
-    if small.rows < few and small.n <= few:
+    def is_few(df: DataFrame, column: str) -> bool:
+        """Whether a side's postings are few; rows beyond the first so many, of three postings at least, need no counting."""
+        n = df.select(F.size(column).alias("s")).limit(few + 1).agg(F.coalesce(F.sum("s"), F.lit(0)).alias("n")).first().n
+        return n <= few
+
+    if is_few(b, "b"):
         return _by_postings(a, "left_id", "a", b, "right_id", "b", threshold)
-    small = size(a.limit(few), "a")
-    if small.rows < few and small.n <= few:
+    if is_few(a, "a"):
         return _by_postings(b, "right_id", "b", a, "left_id", "a", threshold)
     return _by_prefix(a, b, threshold)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import text_evidence
-from tidewatch.functions.urls import host_of, total_weight
+from tidewatch.functions.urls import dataset_domain, dataset_url, host_of, page_tld, total_weight, url_parts
 from tidewatch.lexicons import ENGLISH
 from tidewatch.operators import agencies as G
 from tidewatch.operators import pipelines
@@ -65,7 +65,16 @@ def domain_rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.array_join(F.array_sort(F.transform("e", lambda e: F.concat_ws(":", e["type"], e["detail"]))), "|").alias("evidence"), total_weight(F.col("e")).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (agency_items, report_trends, domain_rule_score)}
+def url_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ways in which analyses and datasets cut an address, over page addresses as people type them."""
+    n = F.col("page_id") % 5
+    typed = F.when(n == 0, F.concat(F.lit(" "), F.upper("url"), F.lit(" "))).when(n == 1, F.regexp_replace("url", "^[a-z]+://", "www. ")).when(n == 2, F.concat(F.lit("single"), "page_id")).when(n == 3, F.concat(F.regexp_replace("url", "^[a-z]+://", "ftp://user@"), F.lit("?q=1#f"))).otherwise(F.lit(" "))
+    rows = table(spark, sf_dir, "pages").select("page_id", typed.alias("typed"))
+    p = url_parts(F.col("typed"))
+    return rows.select("page_id", p["scheme"].alias("scheme"), p["host"].alias("host"), p["path"].alias("path"), p["query"].alias("query"), p["tld"].alias("tld"), page_tld(F.col("typed")).alias("page_tld"), dataset_url(F.col("typed")).alias("dataset_url"), dataset_domain(F.col("typed")).alias("dataset_domain"))
+
+
+QUERIES = {f.__name__: f for f in (agency_items, report_trends, domain_rule_score, url_variants)}
 
 _any = lambda ws: " OR ".join(f"contains(t, '{w.lower()}')" for w in ws)
 _NAMES = " UNION ALL ".join(f"SELECT '{n}' AS label WHERE {_any(ws)}" for n, ws in ENGLISH.categories)
@@ -87,4 +96,13 @@ ORACLES = {
         UNION ALL SELECT page_id, '의심 TLD:.' || split_part(d, '.', -1) || ' (' || d || ')', 0.15 FROM d WHERE split_part(d, '.', -1) IN ('net', 'com') AND contains(d, '.') AND NOT (blocked AND d = h)
         UNION ALL SELECT page_id, '행동 유도 문구:' || k, w FROM p, (VALUES {_KEYS}) x(k, w) WHERE contains(norm, k))
       SELECT p.page_id, coalesce(string_agg(e, '|' ORDER BY e), '') AS evidence, round(least(coalesce(sum(w), 0), 1)::DOUBLE, 4) AS score FROM p LEFT JOIN e ON e.page_id = p.page_id GROUP BY p.page_id""",
+    "url_variants": r"""WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN ' ' || upper(url) || ' ' WHEN 1 THEN regexp_replace(url, '^[a-z]+://', 'www. ') WHEN 2 THEN 'single' || page_id
+        WHEN 3 THEN regexp_replace(url, '^[a-z]+://', 'ftp://user@') || '?q=1#f' ELSE ' ' END AS typed FROM pages),
+      v AS (SELECT page_id, trim(lower(typed)) AS v, replace(trim(lower(typed)), ' ', '') AS d FROM t),
+      f AS (SELECT page_id, CASE WHEN v = '' THEN '' WHEN contains(v, '://') THEN v ELSE 'http://' || v END AS u, CASE WHEN d = '' THEN '' WHEN regexp_matches(d, '^https?://') THEN d ELSE 'http://' || d END AS dataset_url FROM v),
+      h AS (SELECT *, regexp_replace(split_part(split_part(regexp_extract(u, '^[^:/?#]*://([^/?#]*)', 1), '@', -1), ':', 1), '^www\.', '') AS host,
+        trim(regexp_replace(split_part(split_part(regexp_extract(dataset_url, '^[^:/?#]*://([^/?#]*)', 1), '@', -1), ':', 1), '^www\.', ''), '.') AS dataset_domain FROM f),
+      l AS (SELECT *, list_filter(string_split(host, '.'), lambda x: x <> '') AS p FROM h)
+      SELECT page_id, regexp_extract(u, '^([a-z][a-z0-9+.-]*)://', 1) AS scheme, host, regexp_extract(u, '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS query,
+        CASE WHEN len(p) > 0 THEN p[-1] ELSE '' END AS tld, CASE WHEN len(p) > 1 THEN p[-1] ELSE '' END AS page_tld, dataset_url, dataset_domain FROM l""",
 }
