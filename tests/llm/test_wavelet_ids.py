@@ -29,8 +29,10 @@ def test_matrix_is_the_sequence(ids, levels):
         m.select(5, np.array([int((a == 5).sum())]))
 
 
-def test_matrix_of_many_blocks_and_wide_ids():
-    a = np.random.default_rng(3).integers(0, 1 << 18, 70_000).astype(np.uint32)
+@pytest.mark.parametrize("at_once", [1, 999, 1 << 18])
+def test_matrix_of_many_blocks_and_wide_ids(monkeypatch, at_once):
+    monkeypatch.setattr(w, "AT_ONCE", at_once)
+    a = np.random.default_rng(3).integers(0, 1 << 18, 7_000 if at_once == 1 else 70_000).astype(np.uint32)
     a[::3] = 9
     m = w.WaveletMatrix.of(a, 18)
     assert (m.ids() == a).all() and (m.occurrences(9) == np.flatnonzero(a == 9)).all()

@@ -46,6 +46,8 @@ FIRST = re.compile(rf"[{SAFE}]")
 LAST = re.compile(rf"[{SAFE}]\Z")
 #: Pieces, of so many characters at most, whose ids a task remembers.
 REMEMBERED, SHORT = 1_000_000, 40
+#: Ids that are moved at a time while planes are made or undone.
+AT_ONCE = 1 << 18
 #: Places that are returned at a time.
 DECODED = 1 << 20
 
@@ -73,9 +75,13 @@ class WaveletMatrix:
             ones = np.bitwise_count(plane).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
             planes.append(plane.tobytes())
             ranks.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(ones, dtype=np.uint32)]).tobytes())
-            ones = np.flatnonzero(bit)
-            zeros.append(len(row) - len(ones))
-            row = np.concatenate([row[np.flatnonzero(~bit)], row[ones]])
+            low, high = [row[:0]], []
+            for k in range(0, len(row), AT_ONCE):
+                part, ones = row[k : k + AT_ONCE], bit[k : k + AT_ONCE]
+                low.append(part[np.flatnonzero(~ones)])
+                high.append(part[np.flatnonzero(ones)])
+            zeros.append(sum(map(len, low)))
+            row = np.concatenate(low + high)
         return cls(len(ids), zeros, planes, ranks)
 
     def _bits(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -113,9 +119,14 @@ class WaveletMatrix:
         row = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            zeros, out = self.zeros[level], np.empty(self.n, kind)
-            out[np.flatnonzero(bit)] = row[zeros:] | kind(1 << (self.levels - 1 - level))
-            out[np.flatnonzero(~bit)] = row[:zeros]
+            low, high, out = 0, self.zeros[level], np.empty(self.n, kind)
+            value = kind(1 << (self.levels - 1 - level))
+            for k in range(0, self.n, AT_ONCE):
+                part, ones = out[k : k + AT_ONCE], np.flatnonzero(bit[k : k + AT_ONCE])
+                zeros = np.flatnonzero(~bit[k : k + AT_ONCE])
+                part[ones] = row[high : high + len(ones)] | value
+                part[zeros] = row[low : low + len(zeros)]
+                low, high = low + len(zeros), high + len(ones)
             row = out
         return row
 
