@@ -45,7 +45,7 @@ SAFE = "!-~\u00c0-\u024f"
 FIRST = re.compile(rf"[{SAFE}]")
 LAST = re.compile(rf"[{SAFE}]\Z")
 #: Pieces, of so many characters at most, whose ids a task remembers.
-REMEMBERED, SHORT = 1_000_000, 40
+REMEMBERED, SHORT = 1_500_000, 40
 #: Ids that are moved at a time while planes are made or undone.
 AT_ONCE = 1 << 18
 #: Places that are returned at a time.
