@@ -119,3 +119,13 @@ def test_texts_with_very_many_matches(spark):
             if size == 1 and name != "runs":
                 assert S.redacted(rows, ratios).first().text == re.sub("password=[a-z]+|[0-9a-f]{16,}", "[secret]", t)
         assert took[name, 4] < 8 * took[name, 1] + 4, took
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    """The numbers of the query, wherever spans of a kind come among the others."""
+    texts = [*TEXTS, "deadbeefdeadbeef AKIAABCDEFGHIJ1234 token=abcdefghijkl deadbeefdeadbeef0", "AKIAABCDEFGHIJ1234", "password=abcdefghijkl secret=abcdefghijkl"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in S.op7_secret_markov_scan(spark, str(tmp_path)).collect():
+        want = base(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[1] == k for w in want) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()

@@ -201,8 +201,12 @@ def op7_secret_markov_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = scan(docs, models(spark, docs)).select("doc_id", "spans")
     base = F.filter("spans", lambda x: x["kind"] < len(BASE))
-    number = [F.size(F.filter("spans", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)]
-    return rows.select("doc_id", *number, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+    def number(kind: int) -> Column:  # a lambda's second parameter would be the place in the array
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    numbers = [number(i).alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)]
+    return rows.select("doc_id", *numbers, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def _cut(chunks: Column, start: Column, end: Column) -> Column:
