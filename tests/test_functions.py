@@ -168,3 +168,18 @@ def test_address_variants_follow_urlparse(spark):
         d = v.replace(" ", "")
         d = d if not d or d.startswith(("http://", "https://")) else "http://" + d
         assert (r.d, r.h) == (d, (urlparse(d).hostname or "").removeprefix("www.").strip(".")), t
+
+
+def test_addresses_with_parts_in_any_order(spark, sf):
+    """Hosts that are no addresses raise no error where a join's sides are filtered on the host by themselves."""
+    from tidewatch.plans.evaluation_queries import balanced_urls
+
+    def rows():
+        return sorted(map(tuple, balanced_urls(spark, sf).collect()))
+
+    broadcast = rows()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert broadcast and rows() == broadcast
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
