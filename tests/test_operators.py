@@ -285,3 +285,18 @@ def test_a_retraining_round_uses_samples_once(spark):
     assert pipelines.retraining_round(reports, approvals, after, base, "r2", lambda rows: 1 / 0, lambda model: "PROMOTE")[0] == "WAIT"
     with pytest.raises(ZeroDivisionError):
         pipelines.retraining_round(reports, approvals, used, base, "r3", lambda rows: 1 / 0, lambda model: "PROMOTE")
+
+
+def test_rounding_of_halves_is_that_of_the_sql(spark):
+    """Shares that end in a half, whose double lies below or above it, against DuckDB; 57 of 800 is such a one."""
+    import duckdb
+
+    from tidewatch.functions.columns import rounded
+
+    pairs = [(a, b) for b in (32, 800, 1600, 2080, 3200) for a in range(b)]
+    df = spark.createDataFrame(pairs, "a int, b int").coalesce(1)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest($1) AS a, unnest($2) AS b", [[a for a, _ in pairs], [b for _, b in pairs]])
+    for places in (4, 6):
+        got = [r.x for r in df.select(rounded(F.col("a") / F.col("b"), places).alias("x")).collect()]
+        assert got == [r[0] for r in con.execute(f"SELECT round(a / b, {places}) FROM t").fetchall()]

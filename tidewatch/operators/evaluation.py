@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.functions.columns import rounded
 from tidewatch.operators.components import stored
 
 #: The thresholds of a sweep, 0.05 to 0.95, and of the short one for rules.
@@ -26,7 +27,7 @@ def counts(label: Column, predicted: Column) -> list[Column]:
 def with_ratios(df: DataFrame) -> DataFrame:
     """Append accuracy, precision, recall and f1 to rows with tn, fp, fn and tp; 0 where undefined."""
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
-    r = lambda a, b: F.round(ratio(a, b), PLACES)
+    r = lambda a, b: rounded(ratio(a, b), PLACES)
     return df.withColumns({"accuracy": r(tp + tn, tn + fp + fn + tp), "precision": r(tp, tp + fp), "recall": r(tp, tp + fn), "f1": r(2 * tp, 2 * tp + fp + fn)})
 
 
@@ -91,7 +92,7 @@ def auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     above = (F.col("tp") - F.col("positives")) * F.col("negatives") + 0.5 * F.col("positives") * F.col("negatives")
     out = c.agg(F.sum(above.cast("double")).alias("a"), F.max("np").alias("np"), F.max("nn").alias("nn"), F.sum(F.col("precision") * F.col("positives")).alias("s"))
     both = (F.col("np") > 0) & (F.col("nn") > 0)
-    return out.select(F.when(both, F.round(F.col("a") / (F.col("np") * F.col("nn")), PLACES)).alias("roc_auc"), F.round(ratio(F.col("s"), F.col("np")), PLACES).alias("average_precision"))
+    return out.select(F.when(both, rounded(F.col("a") / (F.col("np") * F.col("nn")), PLACES)).alias("roc_auc"), rounded(ratio(F.col("s"), F.col("np")), PLACES).alias("average_precision"))
 
 
 def error_type(label: Column, predicted: Column) -> Column:
@@ -113,7 +114,7 @@ def group_errors(df: DataFrame, by: list[str], label: str = "label", predicted:
         F.count("*").alias("total"), F.count_if(y == p).alias("correct"), F.count_if((y == 0) & (p == 1)).alias("fp"), F.count_if((y == 1) & (p == 0)).alias("fn"),
         F.count_if(y == 0).alias("normals"), F.count_if(y == 1).alias("phishing"),
     )
-    r = lambda a, b: F.round(ratio(F.col(a), F.col(b)), PLACES)
+    r = lambda a, b: rounded(ratio(F.col(a), F.col(b)), PLACES)
     out = out.withColumns({"errors": F.col("fp") + F.col("fn"), "accuracy": r("correct", "total"), "fp_rate": r("fp", "normals"), "fn_rate": r("fn", "phishing")})
     return out.drop("normals", "phishing").orderBy(F.desc("errors"), "accuracy", *by)
 
@@ -130,7 +131,7 @@ def weaknesses(df: DataFrame, levels: list[str], label: str = "label", predicted
 def pair_accuracy(df: DataFrame, pair: str, label: str = "label", predicted: str = "predicted") -> DataFrame:
     """The share of pairs of which every row is right."""
     pairs = df.groupBy(pair).agg(F.bool_and(F.col(label) == F.col(predicted)).alias("ok"))
-    return pairs.agg(F.count("*").alias("pairs"), F.round(F.avg(F.col("ok").cast("int")), PLACES).alias("accuracy"))
+    return pairs.agg(F.count("*").alias("pairs"), rounded(F.avg(F.col("ok").cast("int")), PLACES).alias("accuracy"))
 
 
 def robustness(df: DataFrame, condition: str = "condition", key: str = "id", original: str = "original", label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -143,17 +144,17 @@ def robustness(df: DataFrame, condition: str = "condition", key: str = "id", ori
     joined = df.join(base, key)
     caught = (y == 1) & (F.col("_was") == 1)
     rows = with_ratios(joined.groupBy(condition).agg(*counts(y, p), F.count_if(caught & (p == 1)).alias("retained"), F.count_if(caught & (p == 0)).alias("evaded")))
-    rows = rows.withColumn("retention", F.round(ratio(F.col("retained"), F.col("retained") + F.col("evaded")), PLACES))
+    rows = rows.withColumn("retention", rounded(ratio(F.col("retained"), F.col("retained") + F.col("evaded")), PLACES))
     first = rows.where(F.col(condition) == original).select(*[F.col(c).alias(f"_{c}") for c in ("accuracy", "recall", "f1")])
     out = rows.join(F.broadcast(first))  # one row
-    drops = {f"{c}_drop": F.round(F.col(f"_{c}") - F.col(c), PLACES) for c in ("accuracy", "recall", "f1")}
+    drops = {f"{c}_drop": rounded(F.col(f"_{c}") - F.col(c), PLACES) for c in ("accuracy", "recall", "f1")}
     return out.withColumns(drops).drop("_accuracy", "_recall", "_f1")
 
 
 def family_errors(df: DataFrame, family: str, label: str = "label", predicted: str = "predicted", score: str = "score") -> DataFrame:
     """False-positive rate and mean score of each family's normal rows."""
     rows = df.where(F.col(label) == 0).groupBy(family)
-    return rows.agg(F.count("*").alias("rows"), F.round(F.avg(F.col(predicted).cast("double")), PLACES).alias("fp_rate"), F.round(F.avg(score), PLACES).alias("mean_score"))
+    return rows.agg(F.count("*").alias("rows"), rounded(F.avg(F.col(predicted).cast("double")), PLACES).alias("fp_rate"), rounded(F.avg(score), PLACES).alias("mean_score"))
 
 
 def promotion_gate(current: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def promotion_gate(current: DataFrame, candidate: DataFrame) -> DataFrame:
     a = current.select(*[F.col(c).alias(f"a_{c}") for c in ("f1", "precision", "fp")])
     b = candidate.select(*[F.col(c).alias(f"b_{c}") for c in ("f1", "precision", "fp")])
     both = a.limit(1).join(F.broadcast(b.limit(1)))  # one row each
-    d = {f"delta_{c}": F.round(F.col(f"b_{c}") - F.col(f"a_{c}"), PLACES) for c in ("f1", "precision")} | {"delta_fp": F.col("b_fp") - F.col("a_fp")}
+    d = {f"delta_{c}": rounded(F.col(f"b_{c}") - F.col(f"a_{c}"), PLACES) for c in ("f1", "precision")} | {"delta_fp": F.col("b_fp") - F.col("a_fp")}
     rows = both.withColumns(d)
     ok = (F.col("delta_f1") >= 0) & (F.col("delta_precision") >= 0) & (F.col("delta_fp") <= 0)
     return rows.select("delta_f1", "delta_precision", "delta_fp", F.when(ok, "PROMOTE").otherwise("REJECT").alias("decision"))

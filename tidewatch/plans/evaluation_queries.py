@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
 from tidewatch.functions import urls as U
+from tidewatch.functions.columns import rounded
 from tidewatch.lexicons import ENGLISH
 from tidewatch.operators import evaluation as E
 from tidewatch.operators import generators
@@ -73,7 +74,7 @@ def recall_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pr_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = E.curve(predictions(spark, sf_dir))
-    return rows.select("score", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return rows.select("score", "tp", "fp", *[rounded(F.col(c), 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
