@@ -183,3 +183,12 @@ def test_addresses_with_parts_in_any_order(spark, sf):
         assert broadcast and rows() == broadcast
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_categories_squeeze_a_text_once(spark):
+    """The text is squeezed once for all keywords: two replacements in the plan, however many keywords there are."""
+    from tidewatch.lexicons import ENGLISH
+
+    df = spark.createDataFrame([("With  the\tPASSWORD",), (None,), ("x NICHT y @",)], "t string").select(T.categories(F.col("t"), ENGLISH).alias("c"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+    assert [r.c for r in df.collect()] == [["connectives", "articles", "credentials"], [], ["contacts", "negations"]]
