@@ -284,3 +284,31 @@ def test_an_empty_text_is_an_error(spark):
     for bad in (" ", None):
         with pytest.raises(ValueError, match="empty"):
             pipelines.message_results(rows.unionByName(spark.createDataFrame([(bad, 0.5)], "text string, probability double")))
+
+
+def test_matches_meet_distinct_sets_not_reports(spark):
+    """Time grows no faster than inputs and reports where most clusters have a common token; the results by hand."""
+    import time
+
+    from tidewatch.operators import graph as G
+    from tidewatch.plans.tables import CHAT
+
+    def made(n):
+        """n clusters of one report with one of two tokens, cluster n of two reports with both, and n inputs with both."""
+        i = F.col("id")
+        words = F.when(i >= n, F.array(F.lit("ein"), F.lit("para"))).when(i % 2 == 0, F.array(F.lit("ein"))).otherwise(F.array(F.lit("para")))
+        none = F.array().cast("array<string>")
+        rows = spark.range(n + 2).select("id", F.lit(None).cast("string").alias("sender"), none.alias("regs"), words.alias("strong"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+        inputs = spark.range(n).select("id", F.lit(None).cast("string").alias("sender"), none.alias("domains"), F.array(F.lit("para"), F.lit("ein")).alias("tokens"))
+        return inputs, rows, rows.select("id", F.least("id", F.lit(n)).alias("cluster"))
+
+    for found in (lambda n: G.match(*made(n), CHAT), lambda n: G.campaigns(*made(n), "2024-01-02", CHAT)):
+        took = {}
+        for n in (4_000, 16_000):
+            began = time.time()
+            out = found(n)
+            kept = [c for c in ("cluster", "match_type", "shared", "similar", "similar_case_count", "similar_phrase_count") if c in out.columns]
+            got = [tuple(r) for r in out.groupBy(*kept).count().collect()]
+            took[n] = time.time() - began
+            assert got == [(n, "strong_phrase", 2, 2, n)]
+        assert took[16_000] < 4 * took[4_000] + 4, took
