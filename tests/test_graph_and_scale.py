@@ -312,3 +312,33 @@ def test_matches_meet_distinct_sets_not_reports(spark):
             took[n] = time.time() - began
             assert got == [(n, "strong_phrase", 2, 2, n)]
         assert took[16_000] < 4 * took[4_000] + 4, took
+
+
+def test_clusters_link_keys_not_reports(spark, monkeypatch):
+    """The edges that components get follow the keys that reports join, and nodes and edges stay those of all reports."""
+    from tidewatch.operators import graph as G
+    from tidewatch.plans.tables import CHAT
+
+    seen, plain = [], G.connected_components
+
+    def counted(edges, *args):
+        seen.append(edges.count())
+        return plain(edges, *args)
+
+    monkeypatch.setattr(G, "connected_components", counted)
+    i, none = F.col("id"), F.array().cast("array<string>")
+    known = [
+        (5000, "x", ["h.d1.com"], []), (5001, "x", None, []), (5002, "", ["h.d2.com"], ["ein", "para", "con"]), (5003, None, [], ["para", "con"]),
+        (5004, "y", [], ["con", "ein", "ein"]), (5005, None, [], ["ein"]), (5006, "y", ["d3.com", "d4.com"], []), (5007, None, None, []),
+    ]
+    many = spark.range(3000).select("id", F.lit(None).cast("string").alias("sender"), F.array(F.concat(F.lit("h.d"), (i % 3).cast("string"), F.lit(".com"))).alias("domains"), none.alias("tokens"))
+    reports = many.union(spark.createDataFrame(known, "id long, sender string, domains array<string>, tokens array<string>")).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    rows = G.prepared(reports, CHAT)
+    members = G.clusters(rows)
+    got = {r.id: r.root for r in members.collect()}
+    want = {n: n % 3 for n in range(3000)} | {5000: 1, 5001: 1, 5002: 2, 5003: 2, 5004: 2, 5005: 5005, 5006: 2, 5007: 5007}
+    assert got == want
+    assert seen and seen[0] < 10
+    found = G.nodes(rows, members, CHAT)
+    edges = {tuple(r) for r in G.edges(rows, members, found).collect()}
+    assert ("num:x", "url:h.d1.com") in edges and ("url:d3.com", "url:d4.com") in edges and ("num:y", "url:d3.com") in edges and len(edges) == len(G.edges(rows, members, found).collect())
