@@ -300,3 +300,12 @@ def test_rounding_of_halves_is_that_of_the_sql(spark):
     for places in (4, 6):
         got = [r.x for r in df.select(rounded(F.col("a") / F.col("b"), places).alias("x")).collect()]
         assert got == [r[0] for r in con.execute(f"SELECT round(a / b, {places}) FROM t").fetchall()]
+
+
+def test_ngrams_are_made_without_walking_an_array_of_characters(spark):
+    """Runs of two to four code points, by length and in order, with line ends and characters beyond the basic plane."""
+    texts = [None, "", "a", "ab", "a\nb\r\nc", "\U0001f600x\U0001f601\U0001f600é한", "aaaaa", "\u2028\u0085 z"]
+    df = M.with_ngrams(spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1), "t")
+    got = {r.i: r.grams for r in df.collect()}
+    assert got == {i: [(t or "")[k : k + n] for n in (2, 3, 4) for k in range(len(t or "") - n + 1)] for i, t in enumerate(texts)}
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
