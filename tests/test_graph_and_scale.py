@@ -342,3 +342,35 @@ def test_clusters_link_keys_not_reports(spark, monkeypatch):
     found = G.nodes(rows, members, CHAT)
     edges = {tuple(r) for r in G.edges(rows, members, found).collect()}
     assert ("num:x", "url:h.d1.com") in edges and ("url:d3.com", "url:d4.com") in edges and ("num:y", "url:d3.com") in edges and len(edges) == len(G.edges(rows, members, found).collect())
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_no_root_gathers_its_reports(spark, some, monkeypatch, few):
+    """Reports look their cluster up by a key and are never sorted by root; those without phrases need no cluster for their edges."""
+    plans, plain = {}, G.stored
+
+    def written(df, name, *args):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name, *args)
+
+    monkeypatch.setattr(G, "stored", written)
+    monkeypatch.setattr(R, "FEW", few, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = prepared(spark, some)
+        members = G.clusters(rows)
+        want = roots(some)
+        assert {r.id: r.root for r in members.collect()} == want
+        assert {r.root: r.cluster for r in members.collect()} == {r: n for n, r in enumerate(sorted(set(want.values())))}
+        assert "SortMergeJoin" not in plans["clusters"] and "HashJoin" in plans["clusters"]
+        firsts, cluster = {}, {r.id: r.cluster for r in members.collect()}
+        for i, sender, domains, *_ in some:
+            for name in [*(("url", d) for d in domains), *([("number", sender)] if sender else [])]:
+                firsts[name] = min(i, firsts.get(name, i))
+        found = G.nodes(rows, members, CHAT)
+        assert {(r.type, r.label): r.cluster for r in found.collect() if r.type != "phrase"} == {name: cluster[i] for name, i in firsts.items()}
+        silent = rows.where("size(strong) = 0")
+        edges = lambda m: sorted(map(tuple, G.edges(silent, m, found).collect()))
+        assert edges(members) == edges(members.where("id < 0")) and any(a.startswith("num:") for a, _ in edges(members))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
