@@ -374,3 +374,26 @@ def test_no_root_gathers_its_reports(spark, some, monkeypatch, few):
         assert edges(members) == edges(members.where("id < 0")) and any(a.startswith("num:") for a, _ in edges(members))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_no_cluster_gathers_its_inputs(spark, some):
+    """Inputs of one cluster are not sorted by it where they get its counts, and strong tokens need no function for each token."""
+    import re
+
+    from tidewatch.functions import text as T
+    from tidewatch.lexicons import ENGLISH, KOREAN
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = prepared(spark, some)
+        found = G.campaigns(spark.createDataFrame(some, REPORT), rows, G.clusters(rows), "2024-01-10 00:00:00", CHAT)
+        # Sets of a cluster may be sorted by it, rows of inputs may not.
+        assert not re.findall(r"SortMergeJoin \[cluster#\d+L?(?:, (?:o|_s)#\d+L?)?\]", found._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lists = [["zu", "zu", None, "x", "ein", "other"], [], None, [*KOREAN.strong_tokens, "a"], [*ENGLISH.strong_tokens, *ENGLISH.stopwords, "zu"]]
+    df = spark.createDataFrame([(x,) for x in lists], "t array<string>")
+    for profile in (CHAT, ENGLISH, KOREAN):
+        for r in df.select(T.meaning_tokens(F.col("t"), profile).alias("m"), T.strong_tokens(F.col("t"), profile).alias("s")).collect():
+            assert r.s == (r.m if r.m is None else [t for t in r.m if t in profile.strong_tokens])
+    assert "lambda" not in df.select(T.strong_tokens(F.col("t"), CHAT))._jdf.queryExecution().optimizedPlan().toString()

@@ -21,7 +21,7 @@ ENDINGS = ("com", "co.kr", "ck", "town.ck", "www.ck", "kawasaki.jp", "ward.kawas
 
 
 def _known(spark: SparkSession, sf_dir: str):
-    rows = stored(G.prepared(turn_reports(spark, sf_dir), CHAT), "chat")
+    rows = stored(G.prepared(turn_reports(spark, sf_dir), CHAT).drop("words"), "chat")
     return rows, G.clusters(rows)
 
 
