@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewatch.llm import simhash_dedup as S
+from tidewatch.operators import components as C
 
 
 def slow_fingerprint(text):
@@ -85,3 +86,30 @@ def test_one_row_of_each_group_stays_where_keys_repeat(spark, words):
     kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     found = sorted((str(r.doc_id), r.text or "") for r in kept)
     assert found == sorted([("3", a), ("5", b), ("None", c), ("7", d), ("None", "")])
+
+
+def test_no_side_that_grows_is_broadcast(spark, words, monkeypatch):
+    """Spark takes a table of fingerprints for small by its files, and the 35 keys of each for no more than that."""
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice(words) for _ in range(30))
+    texts = [text() for _ in range(40)]
+    df = spark.createDataFrame([(i, t + (" end" if i % 2 else "")) for i, t in enumerate(texts + texts)], "doc_id long, text string")
+    plans, write = {}, S.stored
+    monkeypatch.setattr(S, "stored", lambda made, name, **more: plans.setdefault(name, made._jdf.queryExecution().executedPlan().toString()) and write(made, name, **more))
+    plans["result"] = S.near_duplicates(df)._jdf.queryExecution().executedPlan().toString()
+    S.keep_one(df)
+    for name in ("met", "apart", "labels"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name], name
+    assert "SortMergeJoin" in plans["roots"] and "SortMergeJoin" in plans["result"]
+
+
+def test_components_of_many_edges_broadcast_nothing(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50) if i % 7], "src long, dst long")
+    want = {r.vertex: r.component for r in C.connected_components(edges).collect()}
+    plans, write = [], C.stored
+    monkeypatch.setattr(C, "MANY_EDGES", 10)
+    monkeypatch.setattr(C, "stored", lambda made, name: plans.append(made._jdf.queryExecution().executedPlan().toString()) or write(made, name))
+    found = C.connected_components(edges)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "BroadcastHashJoin" in p] and "SortMergeJoin" in plans[-1]
+    assert {r.vertex: r.component for r in found.collect()} == want

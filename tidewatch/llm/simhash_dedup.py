@@ -12,6 +12,9 @@ A dense group of copies never becomes all its pairs. Equal fingerprints are one
 key are first compared with the smallest and the largest fingerprint of that key only; the
 components of those links are found, and pairs are then formed only between different components
 that still meet under some key. No link between components is lost by this.
+
+What grows with the corpus is joined by merge: Spark sizes a table by its files, and so takes the 35
+rows that a fingerprint explodes into for one, and would broadcast millions of rows as few.
 """
 
 from __future__ import annotations
@@ -114,7 +117,7 @@ def _with_root(rows: DataFrame, values: DataFrame) -> DataFrame:
     ahead = F.broadcast(values.join(F.broadcast(large), "root", "left_semi"))
     few = F.broadcast(large)
     return rows.join(few, "root", "left_semi").join(ahead, "root", "left").unionByName(
-        rows.join(few, "root", "left_anti").join(values.join(few, "root", "left_anti"), "root", "left")
+        rows.join(few, "root", "left_anti").join(values.join(few, "root", "left_anti").hint("merge"), "root", "left")
     )
 
 
@@ -131,25 +134,25 @@ def fingerprint_components(distinct: DataFrame, radius: int = RADIUS, n_pivots:
         F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(masks)])).alias("k"),
     ).select("fp", "k.t", "k.m")
     crowded = keyed.groupBy("t", "m").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    met = keyed.join(crowded, ["t", "m"]).withColumn("d", _coordinates(F.col("fp"), n_pivots))
+    met = keyed.join(crowded.hint("merge"), ["t", "m"]).withColumn("d", _coordinates(F.col("fp"), n_pivots))
     met = stored(met, "met")
     hubs = met.select("fp", "d", F.explode(F.array("lo", "hi")).alias("hub")).where(F.col("fp") != F.col("hub"))
     hubs = hubs.withColumn("d2", _coordinates(F.col("hub"), n_pivots))
     near = hubs.where(_linked(F.col("fp"), F.col("hub"), F.col("d"), F.col("d2"), radius, n_pivots))
     first = stored(connected_components(near, "fp", "hub"), "first")
-    rooted = met.join(first, met["fp"] == first["vertex"], "left").select("t", "m", "fp", "d", F.coalesce("component", "fp").alias("root"))
+    rooted = met.join(first.hint("merge"), met["fp"] == first["vertex"], "left").select("t", "m", "fp", "d", F.coalesce("component", "fp").alias("root"))
     apart = rooted.groupBy("t", "m").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("t", "m")
-    left = rooted.join(apart, ["t", "m"]).withColumn("cell", F.floor(F.col("d")[0] / F.lit(radius + 1)).cast("int"))
+    left = rooted.join(apart.hint("merge"), ["t", "m"]).withColumn("cell", F.floor(F.col("d")[0] / F.lit(radius + 1)).cast("int"))
     left = stored(left, "apart")
     right = left.select(
         "t", "m", F.col("fp").alias("fp2"), F.col("root").alias("root2"), F.col("d").alias("d2"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell")
     )
     close = _linked(F.col("fp"), F.col("fp2"), F.col("d"), F.col("d2"), radius, n_pivots)
-    pairs = left.join(right, ["t", "m", "cell"]).where((F.col("root") < F.col("root2")) & close)
+    pairs = left.join(right.hint("merge"), ["t", "m", "cell"]).where((F.col("root") < F.col("root2")) & close)
     second = connected_components(pairs.select("root", "root2").distinct(), "root", "root2")
     second = stored(second.select(F.col("vertex").alias("root"), F.col("component").alias("top")), "second")
     merged = first.select(F.col("vertex").alias("fp"), F.col("component").alias("root"))
-    labels = distinct.select("fp").join(merged, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labels = distinct.select("fp").join(merged.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return _with_root(stored(labels, "labels"), second).select("fp", F.coalesce("top", "root").alias("root"))
 
 
@@ -164,10 +167,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     marked = stored(fingerprints(docs.select(key, text), text, [key]), "fingerprints")
     distinct = stored(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(key).alias("low")), "distinct")
     roots = fingerprint_components(distinct, radius)
-    lows = stored(roots.join(distinct, "fp"), "roots")
+    lows = stored(roots.join(distinct.hint("merge"), "fp"), "roots")
     ids = stored(lows.groupBy("root").agg(F.min("low").alias("component_id")), "ids")
     by_fp = _with_root(lows, ids).select(F.col("fp").alias("fingerprint"), "root", "component_id")
-    return marked.join(by_fp, "fingerprint").select(key, "fingerprint", "root", "component_id")
+    return marked.join(by_fp.hint("merge"), "fingerprint").select(key, "fingerprint", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -180,7 +183,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     marked = stored(fingerprints(rows.withColumn("hash", F.xxhash64("text")), "text", ["key", "hash"]), "fingerprints")
     distinct = stored(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "hash")).alias("low")), "distinct")
-    lows = fingerprint_components(distinct, radius).join(distinct, "fp").groupBy("root").agg(F.min("low").alias("low"))
+    lows = fingerprint_components(distinct, radius).join(distinct.hint("merge"), "fp").groupBy("root").agg(F.min("low").alias("low"))
     first = stored(lows.select(F.col("low.key").alias("_first key"), F.col("low.hash").alias("_first hash")), "first")
     # The rows to keep grow with the corpus, so they are never broadcast, not even while they are few.
     same = docs[f"`{key}`"].eqNullSafe(first["_first key"]) & (hashed == first["_first hash"])
@@ -189,6 +192,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: i
     again = stored(again.select(F.col("key").alias("_again key"), F.col("hash").alias("_again hash")), "again")
     if again.isEmpty():
         return out
+    again = again.hint("merge")
     same = docs[f"`{key}`"].eqNullSafe(again["_again key"]) & (hashed == again["_again hash"])
     once = out.join(again, same, "left_anti")
     repeated = out.join(again, same, "left_semi").withColumn("_row hash", hashed)
