@@ -16,6 +16,7 @@ from tidewatch.operators import incremental as I
 from tidewatch.operators import relational as R
 from tidewatch.operators import similarity as Sim
 from tidewatch.operators import splits, suffixes
+from tidewatch.plans import registry
 from tidewatch.plans.tables import CHAT
 from tidewatch.streaming import streams
 
@@ -397,3 +398,13 @@ def test_no_cluster_gathers_its_inputs(spark, some):
         for r in df.select(T.meaning_tokens(F.col("t"), profile).alias("m"), T.strong_tokens(F.col("t"), profile).alias("s")).collect():
             assert r.s == (r.m if r.m is None else [t for t in r.m if t in profile.strong_tokens])
     assert "lambda" not in df.select(T.strong_tokens(F.col("t"), CHAT))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_event_links_its_sender(spark, tmp_path):
+    """Two domains with one sender are one cluster, whatever the numbers of the events, and no sender is left out."""
+    day = lambda n: datetime(2024, 1, n, 12)
+    rows = [(1, day(1), 7, "click"), (2, day(2), 7, "click"), (3, day(3), 8, "click"), (4, day(3), 9, "view"), (5, day(4), None, "view")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.label: r.cluster for r in registry.QUERIES["sender_graph_nodes"](spark, str(tmp_path)).collect()}
+    hosts = {"h1.click-2024-01-01.test": 0, "h2.click-2024-01-02.test": 0, "h0.click-2024-01-03.test": 1, "h1.view-2024-01-03.test": 2, "h2.view-2024-01-04.test": 3}
+    assert got == hosts | {"7": 0, "8": 1, "9": 2}
