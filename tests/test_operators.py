@@ -309,3 +309,22 @@ def test_ngrams_are_made_without_walking_an_array_of_characters(spark):
     got = {r.i: r.grams for r in df.collect()}
     assert got == {i: [(t or "")[k : k + n] for n in (2, 3, 4) for k in range(len(t or "") - n + 1)] for i, t in enumerate(texts)}
     assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_write_no_table_and_vectors_are_written_in_small_groups(spark, tmp_path, monkeypatch):
+    """What a task holds is bounded: a row's own n-grams in predict, a small row group of vectors in fit."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefghij ") for _ in range(2000)), i % 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, text string, label int").coalesce(1)
+    asked, write = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda made, name, **more: asked.append((name, write(made, name, **more))) or asked[-1][1])
+    monkeypatch.setattr(M, "GROUP_BYTES", 1 << 18)
+    model = M.fit(df, features=3000, iterations=2)
+    assert [name for name, _ in asked] == ["counts", "features"]
+    for _, made in asked:
+        for path in made.inputFiles():
+            groups = pq.ParquetFile(path.removeprefix("file://")).metadata
+            assert max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) <= 200
+    assert M.predict(model, df).count() == 600 and len(asked) == 2
